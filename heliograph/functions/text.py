@@ -99,14 +99,15 @@ def with_normalized(df: DataFrame, column: str, out: str = "normalized") -> Data
 
 def shingles(tokens: Column, k: int = 3) -> Column:
     """Distinct k-word shingles of a token array; a shorter text is one shingle,
-    no word none. ``tokens`` must be a stored column: the lambda reads it often."""
+    no word none. Built by zipping shifted copies: a lambda that captured the
+    tokens could be evaluated with the tokenizer inlined, once per word."""
     n = F.size(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(0), n - k),
-        lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(k)]),
-    )
+    grams = tokens
+    for shift in range(1, k):
+        rest = F.slice(tokens, shift + 1, F.greatest(n - shift, F.lit(0)))
+        grams = F.zip_with(grams, rest, lambda x, y: F.concat(x, F.lit(" "), y))
     short = F.when(n > 0, F.array(F.array_join(tokens, " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(n >= k, F.array_distinct(grams)).otherwise(short)
+    return F.when(n >= k, F.array_distinct(F.array_compact(grams))).otherwise(short)
 
 
 def with_shingles(df: DataFrame, normalized: str, out: str = "shingles", k: int = 3) -> DataFrame:
