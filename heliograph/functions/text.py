@@ -206,6 +206,11 @@ def estimate_tokens(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(count)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text, rounded half to even on the exact binary value."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 # -- copyright -------------------------------------------------------------------
 def quote_ratio(text: Column) -> Column:
     quoted = F.regexp_extract_all(text, F.lit('["“”]([^"“”]{10,})["“”]'), F.lit(1))

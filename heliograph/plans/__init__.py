@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 
 _MODULES = (
     "source_queries",
@@ -24,7 +25,8 @@ _MODULES = (
 def load_catalog():
     """(queries, checks), filled by importing the query modules."""
     for module in _MODULES:
-        importlib.import_module(f"heliograph.plans.{module}")
+        if importlib.util.find_spec(f"heliograph.plans.{module}"):
+            importlib.import_module(f"heliograph.plans.{module}")
     from heliograph.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
