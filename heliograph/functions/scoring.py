@@ -21,10 +21,11 @@ def emotion_boost(emotion: Column) -> Column:
 
 def risk_penalty(flags: Column) -> Column:
     """Sum of flag weights in [0, 1]; a repeated flag counts again."""
-    hits = [
-        F.size(F.filter(F.coalesce(flags, F.array().cast("array<string>")), lambda f, k=k: f == k)) * w
-        for k, w in dims.RISK_WEIGHTS.items()
-    ]
+
+    def uses(name: str) -> Column:
+        return F.size(F.filter(F.coalesce(flags, F.array().cast("array<string>")), lambda flag: flag == name))
+
+    hits = [uses(name) * weight for name, weight in dims.RISK_WEIGHTS.items()]
     return clamp(sum(hits, F.lit(0.0)), 0.0, 1.0)
 
 

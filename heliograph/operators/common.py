@@ -34,15 +34,17 @@ def minmax_scaled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def prefix_sum(
-    df: DataFrame, keys: list[str], seq: str, value: Column, out: str, chunk: int = 65536
+    df: DataFrame, keys: list[str], seq: str, value: Column, out: str, chunk: int | Column = 65536
 ) -> DataFrame:
     """Running sum of ``value`` by ``seq`` within ``keys``, inclusive.
 
-    ``seq`` is a unique non-negative whole number. A key may hold most of the
+    ``seq`` is unique per key; it is a non-negative whole number unless ``chunk``
+    gives a chunk number that grows with it. A key may hold most of the
     rows, so a window by key alone would be one task: sums run inside chunks of
     ``seq`` and a second, far smaller window carries the chunk totals.
     """
-    spread = df.withColumns({"_chunk": F.floor(F.col(seq) / chunk), "_value": value})
+    chunk_of = chunk if isinstance(chunk, Column) else F.floor(F.col(seq) / chunk)
+    spread = df.withColumns({"_chunk": chunk_of, "_value": value})
     totals = spread.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
