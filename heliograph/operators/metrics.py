@@ -16,7 +16,7 @@ def latest(log: DataFrame, key: str = "content_id", *order: str) -> DataFrame:
 
 def time_series(log: DataFrame, content_id, days: int | None = None) -> DataFrame:
     """All snapshots of an id in time order; ``days`` keeps those of the last days
-    before its newest one (the reference accepts the argument and ignores it)."""
+    before its newest one."""
     rows = log.filter(F.col("content_id") == content_id)
     if days is not None:
         newest = rows.agg(F.max("ts")).scalar()
