@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.functions import dims
+from heliograph.session import stored
 
 # A word character is a letter, a number or "_" in any script.
 WORD = r"[\p{L}\p{N}_]"
@@ -94,7 +95,7 @@ def word_count(text: Column) -> Column:
 
 
 def with_normalized(df: DataFrame, column: str, out: str = "normalized") -> DataFrame:
-    return df.withColumn(out, normalize_text(F.col(column)))
+    return stored(df, **{out: normalize_text(F.col(column))})
 
 
 def shingles(tokens: Column, k: int = 3) -> Column:
@@ -111,8 +112,8 @@ def shingles(tokens: Column, k: int = 3) -> Column:
 
 
 def with_shingles(df: DataFrame, normalized: str, out: str = "shingles", k: int = 3) -> DataFrame:
-    stored = df.withColumn("_tokens", tokens(F.lower(F.col(normalized))))
-    return stored.withColumn(out, shingles(F.col("_tokens"), k)).drop("_tokens")
+    cut = stored(df, _tokens=tokens(F.lower(F.col(normalized))))
+    return stored(cut, **{out: shingles(F.col("_tokens"), k)}).drop("_tokens")
 
 
 # -- language ----------------------------------------------------------------
@@ -149,11 +150,12 @@ def _occurrences(text: Column, cue: str) -> Column:
 
 def _with_cue_label(df: DataFrame, low: str, cues: dict, floor: float, out: str) -> DataFrame:
     counts = {label: f"_n_{label}" for label in cues}
-    df = df.withColumns(
-        {
+    df = stored(
+        df,
+        **{
             name: sum((_occurrences(F.col(low), cue) for cue in cues[label]), F.lit(0.0))
             for label, name in counts.items()
-        }
+        },
     )
     total = sum((F.col(name) for name in counts.values()), F.lit(0.0))
     df = df.withColumns({"_total": total, "_best": F.greatest(*[F.col(n) for n in counts.values()])})
@@ -173,7 +175,7 @@ def _with_cue_label(df: DataFrame, low: str, cues: dict, floor: float, out: str)
 def classify(df: DataFrame, normalized: str, emotion: bool = True, intent: bool = True) -> DataFrame:
     """Adds emotion / intent and their confidences from cue-word counts. The
     cues of all languages are counted, so the language is not an input."""
-    df = df.withColumn("_low", F.lower(F.col(normalized)))
+    df = stored(df, _low=F.lower(F.col(normalized)))
     if emotion:
         df = _with_cue_label(df, "_low", dims.EMOTION_CUES, dims.EMOTION_CONF_MIN, "emotion")
     if intent:

@@ -188,14 +188,15 @@ def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, hub_split: int = 100_000
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, hub_split: int = 100_000, write_every: int = 3
 ) -> DataFrame:
     """(id, rank): weighted PageRank, dangling rank spread evenly, scaled to sum 1.
 
     Links are partitioned once by (node, slice) and persisted; a hub with more
     than ``hub_split`` out-edges is cut into slices and only its own rank row is
     copied, so no task owns a whole hub. In-hubs are met by partial sums. Each
-    round is one shuffle of node-sized data; every tenth is checkpointed.
+    round shuffles node-sized data only and hashes it, so the links are never
+    sorted; every tenth round is written out.
     """
     edges = keep(edges.select("from_node", "to_node", "weight"))
     out = edges.groupBy("from_node").agg(F.sum("weight").alias("ow"), F.count("*").alias("deg"))
@@ -209,8 +210,11 @@ def pagerank(
         )
     )
     edges.unpersist()
-    links = keep(links.repartition("from_node", "slice"))
-    frame = keep(frame.repartition("id"))
+    # A fixed number of partitions, which adaptive execution does not change, so
+    # every round finds links and frame partitioned as its joins need them.
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = keep(links.repartition(parts, "from_node", "slice"))
+    frame = keep(frame.repartition(parts, "id"))
     n = frame.count()
     if n == 0:
         return ids.withColumn("rank", F.lit(0.0))
@@ -229,14 +233,14 @@ def pagerank(
             "rank",
         )
         received = (
-            links.join(senders, ["from_node", "slice"])
+            links.join(senders.hint("shuffle_hash"), ["from_node", "slice"])
             .groupBy(F.col("to_node").alias("id"))
             .agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
-        fresh = frame.join(received, "id", "left").select(
+        fresh = frame.join(received.hint("shuffle_hash"), "id", "left").select(
             "id", "slices", (F.coalesce("got", F.lit(0.0)) + base).alias("rank")
         )
-        ranks = cut_lineage(fresh) if i % 10 == 0 else keep(fresh)
+        ranks = cut_lineage(fresh) if i % write_every == 0 else keep(fresh)
         lost = mass(ranks)
         if previous is not None:
             previous.unpersist()

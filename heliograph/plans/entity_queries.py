@@ -9,6 +9,7 @@ from heliograph.operators import entities, graph
 from heliograph.plans.registry import query
 from heliograph.plans.source_queries import SQL_ALIASES, part_aliases
 from heliograph.plans.text_queries import NORM, SQUASH, TOKEN
+from heliograph.session import stored
 
 c = F.col
 # RE2 knows no Unicode word boundary: both sides read the documents with each
@@ -104,8 +105,8 @@ cl AS (SELECT doc_id, k, (('0x' || substr(md5(coalesce(k[1], n)), 1, 8))::ubigin
 
 def clustered(t):
     docs = text.with_normalized(t.documents.select("doc_id", "text"), "text")
-    tokens = docs.select("doc_id", "normalized", text.tokens(F.lower("normalized")).alias("tokens"))
-    return tokens.withColumn("cluster", entities.hash_cluster(c("tokens"), c("normalized"), 20))
+    cut = stored(docs.select("doc_id", "normalized"), tokens=text.tokens(F.lower("normalized")))
+    return cut.withColumn("cluster", entities.hash_cluster(c("tokens"), c("normalized"), 20))
 
 
 @query("hash_cluster", f"WITH {SQL_TOPICS} SELECT doc_id, cluster FROM cl")

@@ -7,8 +7,11 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heliograph.session import spread
 from heliograph.tables import table
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,7 +26,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return table(self.spark, self.dir, name)
+        df = table(self.spark, self.dir, name)
+        return spread(df) if name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):

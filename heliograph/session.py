@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "heliograph", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,6 +62,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the session has task slots,
+    as for a small file under CPU-heavy text work; a large table is left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def stored(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row.
+
+    Adjacent projections merge, so a costly column used in several places (a
+    token array, say) would be computed at each. A generator over one row is a
+    boundary the optimizer does not merge across; nothing is shuffled.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist a reused frame, spilling to disk; lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
