@@ -196,28 +196,30 @@ def pagerank(
     than ``hub_split`` out-edges is cut into slices and only its own rank row is
     copied, so no task owns a whole hub. In-hubs are met by partial sums. Each
     round shuffles node-sized data only and hashes it, so the links are never
-    sorted; every tenth round is written out.
+    sorted; every third round is written out.
     """
-    edges = keep(edges.select("from_node", "to_node", "weight"))
-    out = edges.groupBy("from_node").agg(F.sum("weight").alias("ow"), F.count("*").alias("deg"))
-    out = out.filter(F.col("ow") != 0).withColumn("slices", F.ceil(F.col("deg") / hub_split).cast("int"))
-    slice_of = F.pmod(F.hash("to_node"), F.col("slices"))
-    ids = nodes.select("id").distinct()
-    frame = cut_lineage(ids.join(out.select(F.col("from_node").alias("id"), "slices"), "id", "left"))
-    links = cut_lineage(
-        edges.join(out, "from_node").select(
-            "from_node", slice_of.alias("slice"), "to_node", (F.col("weight") / F.col("ow") * damping).alias("share")
-        )
+    # Rounds run on whole-number node keys; names are joined back at the end.
+    ids = cut_lineage(nodes.select("id").distinct().withColumn("v", F.monotonically_increasing_id()))
+    pairs = (
+        edges.join(ids.select(F.col("id").alias("from_node"), F.col("v").alias("s")), "from_node")
+        .join(ids.select(F.col("id").alias("to_node"), F.col("v").alias("d")), "to_node")
+        .groupBy("s", "d")
+        .agg(F.sum("weight").alias("w"))
     )
-    edges.unpersist()
+    pairs = cut_lineage(pairs)
+    out = pairs.groupBy("s").agg(F.sum("w").alias("ow"), F.count("*").alias("deg"))
+    out = out.filter(F.col("ow") != 0).withColumn("slices", F.ceil(F.col("deg") / hub_split).cast("int"))
+    frame = ids.select("v").join(out.select(F.col("s").alias("v"), "slices"), "v", "left")
+    slice_of = F.pmod(F.hash("d"), F.col("slices"))
+    links = pairs.join(out, "s").select("s", slice_of.alias("slice"), "d", (F.col("w") / F.col("ow") * damping).alias("share"))
     # A fixed number of partitions, which adaptive execution does not change, so
     # every round finds links and frame partitioned as its joins need them.
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = keep(links.repartition(parts, "from_node", "slice"))
-    frame = keep(frame.repartition(parts, "id"))
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = keep(links.repartition(parts, "s", "slice"))
+    frame = keep(frame.repartition(parts, "v"))
     n = frame.count()
     if n == 0:
-        return ids.withColumn("rank", F.lit(0.0))
+        return ids.select("id", F.lit(0.0).alias("rank"))
 
     def mass(ranks: DataFrame) -> float:
         """Rank held by dangling nodes; the action also fills the round's cache."""
@@ -228,17 +230,17 @@ def pagerank(
     for i in range(1, iterations + 1):
         base = (1.0 - damping + damping * lost) / n
         senders = ranks.filter("slices IS NOT NULL").select(
-            F.col("id").alias("from_node"),
+            F.col("v").alias("s"),
             F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
             "rank",
         )
         received = (
-            links.join(senders.hint("shuffle_hash"), ["from_node", "slice"])
-            .groupBy(F.col("to_node").alias("id"))
+            links.join(senders.hint("shuffle_hash"), ["s", "slice"])
+            .groupBy(F.col("d").alias("v"))
             .agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
-        fresh = frame.join(received.hint("shuffle_hash"), "id", "left").select(
-            "id", "slices", (F.coalesce("got", F.lit(0.0)) + base).alias("rank")
+        fresh = frame.join(received.hint("shuffle_hash"), "v", "left").select(
+            "v", "slices", (F.coalesce("got", F.lit(0.0)) + base).alias("rank")
         )
         ranks = cut_lineage(fresh) if i % write_every == 0 else keep(fresh)
         lost = mass(ranks)
@@ -246,7 +248,7 @@ def pagerank(
             previous.unpersist()
         previous = ranks
     total = ranks.agg(F.sum("rank")).first()[0] or 1.0
-    ranks = cut_lineage(ranks.select("id", (F.col("rank") / total).alias("rank")))
+    ranks = cut_lineage(ranks.join(ids, "v").select("id", (F.col("rank") / total).alias("rank")))
     links.unpersist()
     frame.unpersist()
     return ranks
