@@ -188,18 +188,25 @@ def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, hub_split: int = 100_000, write_every: int = 3
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, hub_split: int = 100_000, write_every: int = 4
 ) -> DataFrame:
     """(id, rank): weighted PageRank, dangling rank spread evenly, scaled to sum 1.
 
-    Links are partitioned once by (node, slice) and persisted; a hub with more
-    than ``hub_split`` out-edges is cut into slices and only its own rank row is
-    copied, so no task owns a whole hub. In-hubs are met by partial sums. Each
-    round shuffles node-sized data only and hashes it, so the links are never
-    sorted; every third round is written out.
+    The rank held by dangling nodes is itself carried as the rank of one extra
+    node: links lead to it with the share they give to dangling nodes, and it
+    leads to every node evenly. A round is then one join and one sum, with no
+    figure to fetch between rounds, so ``write_every`` rounds make one job.
+
+    Links are partitioned once and persisted; only node-sized sums are shuffled,
+    and they are hashed, so the links are never sorted. A node with more than
+    ``hub_split`` out-links is cut into slices and its rank row copied to each,
+    so no task owns a whole hub. In-hubs are met by partial sums.
     """
     # Rounds run on whole-number node keys; names are joined back at the end.
     ids = cut_lineage(nodes.select("id").distinct().withColumn("v", F.monotonically_increasing_id()))
+    n = ids.count()
+    if n == 0:
+        return ids.select("id", F.lit(0.0).alias("rank"))
     pairs = (
         edges.join(ids.select(F.col("id").alias("from_node"), F.col("v").alias("s")), "from_node")
         .join(ids.select(F.col("id").alias("to_node"), F.col("v").alias("d")), "to_node")
@@ -207,51 +214,53 @@ def pagerank(
         .agg(F.sum("weight").alias("w"))
     )
     pairs = cut_lineage(pairs)
-    out = pairs.groupBy("s").agg(F.sum("w").alias("ow"), F.count("*").alias("deg"))
-    out = out.filter(F.col("ow") != 0).withColumn("slices", F.ceil(F.col("deg") / hub_split).cast("int"))
-    frame = ids.select("v").join(out.select(F.col("s").alias("v"), "slices"), "v", "left")
-    slice_of = F.pmod(F.hash("d"), F.col("slices"))
-    links = pairs.join(out, "s").select("s", slice_of.alias("slice"), "d", (F.col("w") / F.col("ow") * damping).alias("share"))
+    out = pairs.groupBy("s").agg(F.sum("w").alias("ow")).filter(F.col("ow") != 0)
+    dangling = cut_lineage(ids.select("v").join(out.select(F.col("s").alias("v")), "v", "left_anti"))
+    lost = dangling.count()
+    sink = F.lit(-1).cast("bigint")
+    shares = pairs.join(out, "s").select("s", "d", (F.col("w") / F.col("ow") * damping).alias("share"))
+    given = shares.join(dangling.select(F.col("v").alias("d")), "d").groupBy("s").agg(F.sum("share").alias("share"))
+    one = ids.sparkSession.range(1)
+    links = (
+        shares.unionByName(given.select("s", sink.alias("d"), "share"))
+        .unionByName(ids.select(sink.alias("s"), F.col("v").alias("d"), F.lit(damping / n).alias("share")))
+        .unionByName(one.select(sink.alias("s"), sink.alias("d"), F.lit(damping * lost / n).alias("share")))
+    )
+    frame = ids.select("v", F.lit(1.0 / n).alias("start"), F.lit((1.0 - damping) / n).alias("base"))
+    frame = frame.unionByName(
+        one.select(sink.alias("v"), F.lit(lost / n).alias("start"), F.lit((1.0 - damping) * lost / n).alias("base"))
+    )
+    degrees = links.groupBy("s").agg(F.ceil(F.count("*") / hub_split).cast("int").alias("slices"))
+    frame = cut_lineage(frame.join(degrees, frame["v"] == degrees["s"], "left").drop("s"))
+    hubs = frame.filter("slices > 1").limit(1).count() > 0
+    keys = ["s", "slice"] if hubs else ["s"]
+    if hubs:
+        links = links.join(degrees, "s").withColumn("slice", F.pmod(F.hash("d"), F.col("slices"))).drop("slices")
     # A fixed number of partitions, which adaptive execution does not change, so
     # every round finds links and frame partitioned as its joins need them.
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = keep(links.repartition(parts, "s", "slice"))
+    links = keep(links.repartition(parts, *keys))
     frame = keep(frame.repartition(parts, "v"))
-    n = frame.count()
-    if n == 0:
-        return ids.select("id", F.lit(0.0).alias("rank"))
-
-    def mass(ranks: DataFrame) -> float:
-        """Rank held by dangling nodes; the action also fills the round's cache."""
-        return ranks.agg(F.sum(F.when(F.col("slices").isNull(), F.col("rank")))).first()[0] or 0.0
-
-    ranks = frame.withColumn("rank", F.lit(1.0 / n))
-    lost, previous = mass(ranks), None
+    ranks = frame.withColumn("rank", F.col("start"))
     for i in range(1, iterations + 1):
-        base = (1.0 - damping + damping * lost) / n
-        senders = ranks.filter("slices IS NOT NULL").select(
-            F.col("v").alias("s"),
-            F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
-            "rank",
-        )
+        senders = ranks.filter("slices IS NOT NULL").withColumnRenamed("v", "s")
+        if hubs:
+            senders = senders.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         received = (
-            links.join(senders.hint("shuffle_hash"), ["s", "slice"])
+            links.join(senders.select(*keys, "rank").hint("shuffle_hash"), keys)
             .groupBy(F.col("d").alias("v"))
             .agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         )
-        fresh = frame.join(received.hint("shuffle_hash"), "v", "left").select(
-            "v", "slices", (F.coalesce("got", F.lit(0.0)) + base).alias("rank")
+        ranks = frame.join(received.hint("shuffle_hash"), "v", "left").select(
+            "v", "slices", (F.coalesce("got", F.lit(0.0)) + F.col("base")).alias("rank")
         )
-        ranks = cut_lineage(fresh) if i % write_every == 0 else keep(fresh)
-        lost = mass(ranks)
-        if previous is not None:
-            previous.unpersist()
-        previous = ranks
-    total = ranks.agg(F.sum("rank")).first()[0] or 1.0
-    ranks = cut_lineage(ranks.join(ids, "v").select("id", (F.col("rank") / total).alias("rank")))
+        if i % write_every == 0 or i == iterations:
+            ranks = cut_lineage(ranks)
+    named = ranks.join(ids, "v").select("id", "rank")
+    total = named.agg(F.sum("rank")).first()[0] or 1.0
     links.unpersist()
     frame.unpersist()
-    return ranks
+    return named.select("id", (F.col("rank") / total).alias("rank"))
 
 
 def graph_score(candidates: DataFrame) -> DataFrame:

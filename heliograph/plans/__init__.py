@@ -13,6 +13,7 @@ _MODULES = (
     "scoring_queries",
     "graph_queries",
     "time_queries",
+    "robots_queries",
     "event_queries",
     "experiment_queries",
     "metric_queries",
