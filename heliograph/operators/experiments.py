@@ -47,7 +47,7 @@ def variant_stats(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def mann_whitney(outcomes: DataFrame, control: str, treatment: str) -> DataFrame:
+def mann_whitney(outcomes: DataFrame, control: str, treatment: str, chunks: int = 64) -> DataFrame:
     """(experiment_id, n_control, n_treatment, u, z, p_value), mid-ranks for ties,
     normal approximation without tie correction; p is 1 when an arm has < 2 rows.
 
@@ -59,7 +59,7 @@ def mann_whitney(outcomes: DataFrame, control: str, treatment: str) -> DataFrame
     )
     counts = keyed.groupBy("experiment_id", "metric").agg(F.count("*").alias("n"), F.sum("t").alias("nt"))
     cuts = outcomes.groupBy("experiment_id").agg(
-        F.percentile_approx("metric", [i / 64 for i in range(1, 64)], 1000).alias("_cuts")
+        F.percentile_approx("metric", [i / chunks for i in range(1, chunks)], 1000).alias("_cuts")
     )
     chunk = F.size(F.filter("_cuts", lambda x: x < F.col("metric")))
     ranked = prefix_sum(counts.join(cuts, "experiment_id"), ["experiment_id"], "metric", F.col("n"), "upto", chunk)
