@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.llm.chat import rendered_turns
+from heliograph.llm.embedding_dedup import near_vectors
 from heliograph.llm.exact_dedup import exact_groups
 from heliograph.llm.mixing import mixed_counts
 from heliograph.llm.ngram_join import ngram_groups
 from heliograph.llm.packing import pack_documents
+from heliograph.llm.sharding import shard_digest
 from heliograph.llm.toxicity import toxicity_scores
+from heliograph.llm.warc import round_trip
 from heliograph.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,11 +25,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ngram_groups(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(table(spark, sf_dir, "documents"))
 
@@ -42,7 +58,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op5_mixing, op7_toxicity, op8_packing, op9_exact_dedup)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered_turns(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_ngram_jaccard, op3_embedding_dedup, op4_sharding, op5_mixing,
+        op7_toxicity, op8_packing, op9_exact_dedup, op10_chat,
+    )
+}
 
 ORACLES = {
     "op9_exact_dedup": r"""
@@ -57,4 +83,32 @@ ORACLES = {
                text_sha256
         FROM d
     """,
+    "op10_chat": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS turn
+            FROM conversations),
+        p AS (
+            SELECT conv_id, turn, list(struct_pack(role, text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto,
+                   count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t),
+        whole AS (SELECT conv_id, n_turns, md5(upto::VARCHAR) AS h, row_number() OVER (PARTITION BY md5(upto::VARCHAR) ORDER BY conv_id) AS r
+                  FROM p WHERE turn + 1 = n_turns),
+        part AS (SELECT DISTINCT md5(upto::VARCHAR) AS h FROM p WHERE turn + 1 < n_turns),
+        kept AS (SELECT conv_id, n_turns FROM whole WHERE r = 1 AND h NOT IN (SELECT h FROM part))
+        SELECT t.conv_id, t.turn, kept.n_turns, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece
+        FROM t JOIN kept USING (conv_id)
+    """,
+    "op1_warc": r"""
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages),
+        q AS (
+            SELECT page_id, octet_length(body) AS payload_bytes, best,
+                   list_transform(range(8), lambda i: ('0x' || substr(sha1(body), (5 * i + 1)::INT, 5))::INT) AS twenty FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32),
+                   lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((twenty[(j // 4 + 1)::INT] >> (15 - 5 * (j % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM q
+    """,
 }
