@@ -12,6 +12,7 @@ from heliograph.llm.mixing import mixed_counts
 from heliograph.llm.ngram_join import ngram_groups
 from heliograph.llm.packing import pack_documents
 from heliograph.llm.sharding import shard_digest
+from heliograph.llm.suffix_dedup import without_repeats
 from heliograph.llm.toxicity import toxicity_scores
 from heliograph.llm.warc import round_trip
 from heliograph.tables import table
@@ -46,6 +47,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,7 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_ngram_jaccard, op3_embedding_dedup, op4_sharding, op5_mixing,
-        op7_toxicity, op8_packing, op9_exact_dedup, op10_chat,
+        op6_suffix_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_chat,
     )
 }
 
