@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,23 @@ SPACE = r"[\x20\x09-\x0D]"
 
 # Rows of one key that a numbering window sorts together.
 CHUNK_ROWS = 50_000
+# Bits of a filter table that goes to each task; a full table lets more rows through, never fewer.
+FILTER_BITS = 1 << 25
 # Text bytes that a task hashes at a time; the working arrays take some 60 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+
+# Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to BATCH_ROWS rows: batches of whole texts are large, and a task
+    holds a batch on both sides of the pipe."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
 
 
 def running(
@@ -82,6 +98,33 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return label
 
 
+def filter_table(hashes: DataFrame) -> np.ndarray:
+    """A table of FILTER_BITS bits with a bit set for each number in the one column of ``hashes``; 4 MB at any size."""
+    bits = hashes.toDF("h").select(F.pmod("h", F.lit(FILTER_BITS)).cast("int").alias("bit"))
+    words = bits.groupBy(F.expr("bit div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, bit % 32))").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return table
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each signed 64-bit number is set."""
+    bit = np.mod(hashes, FILTER_BITS)
+    return (table[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def may_hold(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in the one column of ``keys``; a join after it decides. No row of
+    ``df`` moves for it."""
+    table = df.sparkSession.sparkContext.broadcast(filter_table(keys.toDF("k").select(F.xxhash64("k"))))
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        return pd.Series(in_table(table.value, h.to_numpy()))
+
+    return df.where(held(F.xxhash64(key)))
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """Index ranges of ``texts`` of about ``limit`` bytes each; a longer text is alone."""
     sizes = np.diff(offsets_of(texts))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from heliograph.llm.common import WORD, mixed, running
+from heliograph.llm.common import WORD, mixed, running, small_batches
 from heliograph.session import cut_lineage
 
 BLOCK_WORDS = 128
@@ -181,7 +181,7 @@ def cut_words(text: str, first: int, words: int) -> str:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: a row taken whole in a pass comes once with its whole text, of another each run of
     neighbouring blocks comes as a row with that part of its text. n_chars follows the text; other columns are kept."""
-    full = keyed(docs)
+    full = keyed(small_batches(docs))
     rows = cut_lineage(full.select("rk", "doc_id", "source", "size"))
     placements, _ = mix(rows)
     line = W.partitionBy("sid", "start", "epoch").orderBy("first")

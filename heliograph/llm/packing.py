@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import running, slices
+from heliograph.llm.common import running, slices, small_batches
 from heliograph.session import cut_lineage
 
 CAPACITY = 4096
@@ -25,7 +25,7 @@ END_ID = 1
 # Rounds of multiplicative weights, and how far a price falls when its length is covered once.
 ROUNDS, FALL = 300, 3.0
 # White-space separated words whose ids a worker remembers.
-MEMORY = 200_000
+MEMORY = 100_000
 
 _encoders: dict[str, tuple] = {}
 
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from heliograph.llm.common import small_batches
 from heliograph.session import cut_lineage
 
 SHARDS = 40
@@ -46,7 +47,7 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = int(total // BUCKET_BYTES + 1)
     key = F.xxhash64(F.lit(seed), *plain, F.monotonically_increasing_id())
-    rows = docs.select(F.struct("*").alias("row"), size.alias("size"), key.alias("key"))
+    rows = small_batches(docs).select(F.struct("*").alias("row"), size.alias("size"), key.alias("key"))
     rows = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     fields = rows.columns
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bytes_of, mixed, powers, prefix_hash, slices
+from heliograph.llm.common import bytes_of, filter_table, in_table, mixed, powers, prefix_hash, slices, small_batches
 from heliograph.session import cut_lineage
 
 LENGTH = 400
@@ -32,8 +32,6 @@ GRAM = 32
 SMALL = np.uint64((1 << 64) // 16)
 # Bytes that a task sorts at a time when several small groups come together.
 GROUP_BYTES = 1 << 20
-# Bits of the table of shared keys that goes to each task; a full table lets more runs through, never fewer.
-FILTER_BITS = 1 << 26
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -178,7 +176,7 @@ def _runs(texts: pa.Array, length: int, gram: int):
 
 
 def _shared_keys(rows: DataFrame, length: int, gram: int) -> np.ndarray:
-    """A table of FILTER_BITS bits, set for the keys of two runs or more and of runs that may repeat a string."""
+    """A filter table of the keys of two runs or more and of runs that may repeat a string."""
 
     def emit(batches):
         for batch in batches:
@@ -187,16 +185,7 @@ def _shared_keys(rows: DataFrame, length: int, gram: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
     keys = rows.select("text").mapInArrow(emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bits = keys.select(F.pmod("key", F.lit(FILTER_BITS)).cast("int").alias("bit"))
-    words = bits.groupBy(F.expr("bit div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, bit % 32))").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return table
-
-
-def _has(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    bit = np.mod(key.view(np.int64), FILTER_BITS)
-    return (table[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+    return filter_table(keys.select("key"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -206,7 +195,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     the texts as given. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("tkey", F.unhex(F.md5("text")))
     table = spark.sparkContext.broadcast(_shared_keys(rows, length, gram))
 
@@ -215,7 +204,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             texts, out, held = batch.column(0), [], 0
             tkeys = batch.column(1)
             for i, data, first, strings, key, _ in _runs(texts, length, gram):
-                for j in np.flatnonzero(_has(table.value, key)).tolist():
+                for j in np.flatnonzero(in_table(table.value, key.view(np.int64))).tolist():
                     content = data[first[j] : first[j] + strings[j] + length - 1].tobytes()
                     out.append((tkeys[i].as_py(), int(first[j]), int(strings[j]), int(key[j : j + 1].view(np.int64)[0]), hashlib.md5(content).digest(), content))
                     held += len(content)

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.common import small_batches
 from heliograph.session import cut_lineage
 
 # Bound of the training sample, in labelled rows, taken by hash.
@@ -27,6 +28,8 @@ TRAIN_ROWS = 20_000
 # A term marks toxic texts if this share of them (and three) has it, and its odds are so many times those of clean texts;
 # for a family, texts count that have two or more of its words.
 SUPPORT, ODDS = 0.02, 20.0
+# Least log-likelihood ratio of a term: of many thousand words that mean nothing, few reach it.
+GAIN = 16.0
 # At most so many candidates are looked at, and so many near words of clean texts are kept.
 CANDIDATES, NEAR_WORDS = 4_000, 20_000
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -35,7 +38,7 @@ WINDOW = 8
 # Factor of a hit that is misspelled, quoted or reported, or beside a direct address.
 NEAR, QUOTED, ADDRESSED = 0.7, 0.25, 1.25
 # Distinct words a worker remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 # Fixed values.
 REPORTING = frozenset("said says wrote writes quoted quote called calls term word slur reported dit écrit sagte schrieb dijo escribió".split())
@@ -259,6 +262,16 @@ def _lexicon(found: list, bad: int, good: int) -> tuple[dict[str, float], dict[s
     return terms, families
 
 
+def _gain(bad: int, good: int) -> Column:
+    """Log-likelihood ratio of the columns bad and good against one common rate."""
+    parts = F.lit(0.0)
+    share = (F.col("bad") + F.col("good")) / (bad + good)
+    for seen, of in ((F.col("bad"), bad), (F.col("good"), good)):
+        for n, expected in ((seen, share * of), (of - seen, (1 - share) * of)):
+            parts = parts + F.when(n > 0, n * F.ln(n / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
+    return 2 * parts
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns a model. Without labels of both kinds the lexicon is empty and every score is low."""
     sample = _sample(docs, labels)
@@ -268,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({}, {})
     counts = sample.mapInArrow(_counted, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
-    marked = counts.where((F.col("bad") >= max(3, SUPPORT * bad)) & (odds >= min(ODDS, (good + 1) / 4)))
+    marked = counts.where((F.col("bad") >= max(3, SUPPORT * bad)) & (odds >= min(ODDS, (good + 1) / 4)) & (_gain(bad, good) >= GAIN))
     model = Model(*_lexicon(marked.orderBy(F.desc("bad"), "good", "term").limit(CANDIDATES).collect(), bad, good))
 
     def near(batches):
@@ -322,7 +335,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text has no evidence and gets the lowest score. Rows of ``labels`` with a null doc_id or another
     label than 0 and 1 are not learned from; of repeated labels the largest holds. Other columns are not read.
     """
-    score = scorer(fit(docs, labels))
+    score = scorer(fit(small_batches(docs), labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score("text").alias("score"))
     return rows.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -332,6 +345,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that score THRESHOLD or more; all columns are kept."""
-    score = scorer(fit(docs, labels))
+    score = scorer(fit(small_batches(docs), labels))
     packed = docs.select(F.struct("*").alias("row"), score("text").alias("score"))
     return packed.where(F.col("score") < THRESHOLD).select("row.*")

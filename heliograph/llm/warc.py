@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.common import small_batches
 from heliograph.session import cut_lineage, scratch
 
 ARCHIVE_BYTES = 32 << 20
@@ -266,43 +267,37 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to) of each row: of equal payloads of ``least_bytes`` or more, the one with the
-    largest page_id (null is smallest) is the response and the others refer to it.
+    largest page_id (null is smallest) is the response and the others refer to it in an array of one page_id.
 
-    Of repeated rows one is the response; they are told apart by their place in the input, a stored table. A null html
-    is an empty payload. Only page_id, url and html are read. Each html moves once, by its own page, never by its digest.
+    Repeated rows are written as often as they come, and one of them at most is a response. A null html is an empty
+    payload. Only page_id, url and html are read. Each html moves once, by its own page, never by its digest.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     key = F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("\x1e")), F.sha1("payload"))
-    light = cut_lineage(rows.select(key.alias("key"), "page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")))
+    rows = rows.withColumn("key", key)
+    light = cut_lineage(rows.select("key", "page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")))
     some = light.where(F.col("size") >= least_bytes).groupBy("digest").agg(
         F.max(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "key")).alias("best")
     )
     best = cut_lineage(some.select("digest", F.col("best.page_id").alias("best_id"), F.col("best.key").alias("best_key")))
-    roles = light.groupBy("key").agg(F.first("digest").alias("digest")).join(best, "digest", "left").select(
-        "key", F.when(F.col("best_key").isNotNull(), F.array("best_id")).alias("best"), (F.col("best_key") == F.col("key")).alias("first")
-    )
-    joined = rows.withColumn("key", key).join(cut_lineage(roles), "key")
-    return joined.select("key", "page_id", "url", "payload", "best", F.coalesce("first", F.lit(False)).alias("first"))
+    counted = light.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    roles = cut_lineage(counted.join(best, "digest", "left").select(
+        "key", "copies", F.when(F.col("best_key").isNotNull(), F.array("best_id")).alias("best"),
+        F.coalesce(F.col("best_key") == F.col("key"), F.lit(False)).alias("first"),
+    ))
+    once = rows.join(roles.where("copies = 1").drop("copies"), "key")
+    # rows that come more than once: one of each is kept and laid out again
+    often = cut_lineage(roles.where("copies > 1"))
+    again = rows.join(often, "key").dropDuplicates(["key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    again = again.withColumn("first", F.col("first") & (F.col("copy") == 1)).drop("copies", "copy")
+    both = once.unionByName(again.select(once.columns))
+    return both.select("page_id", "url", "payload", F.when(~F.col("first"), F.col("best")).alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes a record per page and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    marked = revisits(pages, least_bytes)
-
-    def settle(batches):  # a repeated row after the first of its key in a task refers to it
-        seen: set[str] = set()
-        for batch in batches:
-            refers = []
-            for key, best, first in zip(*(batch.column(i).to_pylist() for i in (0, 4, 5)), strict=True):
-                alone = best is None or (first and key not in seen)
-                if first:
-                    seen.add(key)
-                refers.append(None if alone else best)
-            yield pa.record_batch([*(batch.column(i) for i in (1, 2, 3)), pa.array(refers, pa.list_(pa.int64()))], ["page_id", "url", "payload", "refers_to"])
-
-    records = marked.mapInArrow(settle, "page_id long, url string, payload binary, refers_to array<long>")
-    archives = write_archives(records, scratch(pages.sparkSession, "warc"))
+    archives = write_archives(revisits(pages, least_bytes), scratch(pages.sparkSession, "warc"))
     found = read_archives(archives).where("kind = 'record'")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
