@@ -64,16 +64,15 @@ def merge_edges(log: DataFrame) -> DataFrame:
 
 
 def split_by_endpoints(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): an edge needs both of its nodes."""
+    """(accepted, rejected): an edge needs both of its nodes. Each end is looked up once."""
     ids = nodes.select("id").distinct()
-    known = edges.join(ids.withColumnRenamed("id", "from_node"), "from_node", "left_semi").join(
-        ids.withColumnRenamed("id", "to_node"), "to_node", "left_semi"
-    )
-    no_source = edges.join(ids.withColumnRenamed("id", "from_node"), "from_node", "left_anti")
-    no_target = edges.join(ids.withColumnRenamed("id", "from_node"), "from_node", "left_semi").join(
-        ids.withColumnRenamed("id", "to_node"), "to_node", "left_anti"
-    )
-    return known.select(*edges.columns), no_source.select(*edges.columns).unionByName(no_target.select(*edges.columns))
+    marked = edges
+    for end in ("from_node", "to_node"):
+        known = ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
+        marked = marked.join(known, end, "left")
+    both = F.col("_from_node").isNotNull() & F.col("_to_node").isNotNull()
+    marked = cut_lineage(marked.select(*edges.columns, both.alias("_known")))
+    return marked.filter("_known").select(*edges.columns), marked.filter("NOT _known").select(*edges.columns)
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -483,8 +483,8 @@ ve AS (SELECT 1 AS version, from_node || '->' || to_node || ':' || relation_type
 @query(
     "snapshot_create",
     with_g(SQL_V + """
-    SELECT 'node' AS kind, id AS key FROM vn WHERE version = 2 AND id NOT IN (SELECT id FROM vn WHERE version = 1)
-    UNION ALL SELECT 'edge', id FROM ve WHERE version = 2 AND id NOT IN (SELECT id FROM ve WHERE version = 1)
+    SELECT 'node' AS kind, id AS key FROM (SELECT id FROM vn WHERE version = 2 EXCEPT SELECT id FROM vn WHERE version = 1)
+    UNION ALL SELECT 'edge', id FROM (SELECT id FROM ve WHERE version = 2 EXCEPT SELECT id FROM ve WHERE version = 1)
     """),
 )
 def _(t):
@@ -510,8 +510,8 @@ def _(t):
 @query(
     "snapshot_diff",
     with_g(SQL_V + """
-    SELECT 'node' AS kind, 'removed' AS change, id AS key FROM vn WHERE version = 2 AND id NOT IN (SELECT id FROM vn WHERE version = 1)
-    UNION ALL SELECT 'edge', 'removed', id FROM ve WHERE version = 2 AND id NOT IN (SELECT id FROM ve WHERE version = 1)
+    SELECT 'node' AS kind, 'removed' AS change, id AS key FROM (SELECT id FROM vn WHERE version = 2 EXCEPT SELECT id FROM vn WHERE version = 1)
+    UNION ALL SELECT 'edge', 'removed', id FROM (SELECT id FROM ve WHERE version = 2 EXCEPT SELECT id FROM ve WHERE version = 1)
     """),
 )
 def _(t):

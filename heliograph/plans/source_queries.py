@@ -203,14 +203,14 @@ def _(t):
 
 
 # -- logs and stores ------------------------------------------------------------------
-def metric_events(t):
-    """Events as metric snapshots of a user's content."""
+def metric_events(t, *further):
+    """Events as metric snapshots of a user's content, with ``further`` columns."""
     e = t.events
     platform = F.element_at(F.array(*[lit(p) for p in PLATFORM_NAMES]), (c("user_id") % 5 + 1).cast("int"))
     return e.select(
         c("user_id").cast("string").alias("content_id"), platform.alias("platform"), "ts", "event_id",
         c("event_type").isin("view", "click").cast("int").alias("views"), (c("event_type") == "click").cast("int").alias("clicks"),
-        F.when(c("event_type") == "purchase", c("value")).alias("revenue_est"), c("props").alias("unknown_key"),
+        F.when(c("event_type") == "purchase", c("value")).alias("revenue_est"), c("props").alias("unknown_key"), *further,
     )
 
 
@@ -370,6 +370,6 @@ def _(t):
     "SELECT (['blog','youtube','instagram','newsletter','shorts'])[(user_id % 5)::int + 1] AS platform, round(avg(value), 6) AS cpm FROM events GROUP BY 1",
 )
 def _(t):
-    means = metric_events(t).join(t.events.select("event_id", "value"), "event_id").groupBy("platform").agg(F.avg("value").alias("v"))
+    means = metric_events(t, "value").groupBy("platform").agg(F.avg("value").alias("v"))
     one = means.select(F.to_json(F.struct(F.create_map("platform", "v").alias("cpm_by_platform"))).alias("payload"))
     return stores.load_cpm(one).select("platform", F.round("cpm", 6).alias("cpm"))

@@ -128,4 +128,4 @@ def test_bootstrap_seeds_only_an_empty_graph(spark):
     seeded, links = stores.bootstrap(nodes, edges, payload)
     assert seeded.first()["weight"] == 1.0 and links.first()["weight"] == 0.8
     assert stores.bootstrap(seeded, links, payload)[0].count() == 1
-    assert stores.bootstrap(seeded, links, payload, force=True)[0].count() == 2
+    assert stores.bootstrap(seeded, links, payload, force=True)[0].count() == 1
