@@ -107,9 +107,19 @@ def _(t):
     return ex.welch(outcomes(t), "A", "B").select("experiment_id", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
-@query("welch_p_value")
+@query(
+    "welch_p_value",
+    f"""WITH {SQL_OUT}, a AS (SELECT experiment_id, avg(metric) FILTER (variant = 'A') AS mc, var_samp(metric) FILTER (variant = 'A') AS vc, count(*) FILTER (variant = 'A') AS nc,
+       avg(metric) FILTER (variant = 'B') AS mt, var_samp(metric) FILTER (variant = 'B') AS vt, count(*) FILTER (variant = 'B') AS nt FROM o GROUP BY 1),
+    w AS (SELECT experiment_id, (mt - mc) / sqrt(vt / nt + vc / nc) AS t,
+       pow(vt / nt + vc / nc, 2) / (pow(vt / nt, 2) / (nt - 1) + pow(vc / nc, 2) / (nc - 1)) AS df FROM a),
+    u AS (SELECT experiment_id, df, atan(abs(t) / sqrt(df)) AS u FROM w),
+    s AS (SELECT experiment_id, df, u / 6000 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(u * i / 2000), df - 1)) AS area
+          FROM u, range(2001) r(i) GROUP BY experiment_id, df, u)
+    SELECT experiment_id, round(least(1, greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * area)), 6) AS p_value FROM s""",
+)
 def _(t):
-    return ex.welch(outcomes(t), "A", "B").select("experiment_id", "p_value")
+    return ex.welch(outcomes(t), "A", "B").select("experiment_id", F.round("p_value", 6).alias("p_value"))
 
 
 @query(

@@ -11,7 +11,7 @@ from heliograph.plans import star_graph
 from heliograph.plans.graph_queries import node_log
 from heliograph.plans.registry import query
 from heliograph.plans.star_graph import SQL as G
-from heliograph.plans.text_queries import NORM, PLATFORM_NAMES, SQL_TITLE, SQUASH
+from heliograph.plans.text_queries import NORM, PLATFORM_NAMES, SQL_TITLE, SQUASH, slots_of, sql_slots
 from heliograph.sources import feeds, stores
 from heliograph.session import scratch
 
@@ -355,14 +355,14 @@ def _(t):
     return part_aliases(t)
 
 
-@query("embedding_cache_fill")
+@query("embedding_cache_fill", f"WITH {sql_slots('(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))')}")
 def _(t):
     cached = t.labels.select("doc_id")
     missing = t.documents.select("doc_id", "text").join(cached, "doc_id", "left_anti")
     path = scratch(t.spark, "embeddings")
     encoded = missing.select("doc_id", vectors.hash_embedding(text.normalize_text(c("text"))).alias("embedding"))
     encoded.filter(F.size("embedding") == vectors.EMBED_DIM).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path).select("doc_id", F.size("embedding").cast("bigint").alias("dim"))
+    return slots_of(t.spark.read.parquet(path))
 
 
 @query(

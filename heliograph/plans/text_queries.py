@@ -307,10 +307,26 @@ def _(t):
 
 
 # -- vectors and sets ----------------------------------------------------------------
-@query("hash_embedding")
+def sql_slots(source: str) -> str:
+    """(doc_id, slot, value) of the non-zero slots of the hashed embeddings of ``source``."""
+    return rf"""
+    tok AS (SELECT doc_id, unnest(string_split(lower({NORM}), ' ')) AS w FROM {source}),
+    hit AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::bigint % {vectors.EMBED_DIM} AS slot,
+                   CASE WHEN ('0x' || substr(md5(w), 9, 2))::int % 2 = 1 THEN 1 ELSE -1 END AS sign FROM tok WHERE w <> ''),
+    slots AS (SELECT doc_id, slot, sum(sign)::double AS v FROM hit GROUP BY ALL HAVING sum(sign) <> 0)
+    SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM slots"""
+
+
+def slots_of(encoded):
+    """The non-zero slots of (doc_id, embedding)."""
+    cells = encoded.select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0")
+    return cells.select("doc_id", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value"))
+
+
+@query("hash_embedding", f"WITH {sql_slots('documents')}")
 def _(t):
     docs = t.documents.select("doc_id", text.normalize_text(F.col("text")).alias("n"))
-    return docs.select("doc_id", vectors.hash_embedding("n").alias("embedding"))
+    return slots_of(docs.select("doc_id", vectors.hash_embedding("n").alias("embedding")))
 
 
 @query(
