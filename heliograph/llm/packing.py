@@ -10,6 +10,7 @@ again on the histogram. Pieces then take their places by their rank within their
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +18,73 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import running, slices, small_batches
+from heliograph.llm.common import bytes_of, running, slices, small_batches
 from heliograph.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
 # Rounds of multiplicative weights, and how far a price falls when its length is covered once.
 ROUNDS, FALL = 300, 3.0
-# White-space separated words whose ids a worker remembers.
-MEMORY = 100_000
+# Words whose ids a worker remembers before it starts anew, and text bytes it takes at a time.
+MEMORY, TEXT_BYTES = 250_000, 1 << 21
 
-_encoders: dict[str, tuple] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[*b".,;:!?"]] = True
 
+_encoders: dict[str, _Encoder] = {}
 
-def _encoder(path: str):
-    """(tokenizer, memory of words) of this process."""
-    if path not in _encoders:
+
+class _Encoder:
+    """A tokenizer of this process with the ids of the words it has met."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The number of each word among the known ones, new words included."""
+        if len(self.known) > MEMORY:
+            self.forget()
+        known, ids, ends = self.known, self.ids, self.ends
+        new = [w for w in words if w not in known]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[w] = len(known)
+            ids.extend(e.ids)
+            ends.append(len(ids))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def _plain_words(texts: pa.Array) -> pa.Array:
+    """``texts`` with the same ids and fewer distinct words: ASCII letters in lower case, as the tokenizer makes them,
+    and a space before a stop after a letter or digit, where it always cuts. A text that may spell a special token,
+    which is found before lower-casing, is left alone."""
+    data, at = bytes_of(texts)
+    special = (data[:-1] == 60) & (data[1:] == 124) if len(data) else np.empty(0, bool)
+    if special.any():
+        return texts
+    low = _LOWER[data]
+    cut = np.zeros(len(low), bool)
+    if len(low) > 2:
+        before, lead = low[1:-1], low[:-2]
+        # U+00C0 to U+024F are letters but for two signs, and one whose lower case has a mark of its own
+        latin = (before >= 128) & (before < 192) & (lead >= 195) & (lead <= 201)
+        latin &= ~((lead == 195) & ((before == 151) | (before == 183))) & ~((lead == 196) & (before == 176))
+        cut[2:] = _STOP[low[2:]] & (_ALNUM[before] | latin)
+        cut[at[at < len(low)]] = False
+    spots = np.flatnonzero(cut)
+    moved = at + np.searchsorted(spots, at)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int64)), pa.py_buffer(np.insert(low, spots, 32)))
 
 
 def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -46,26 +93,22 @@ def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     The tokenizer drops white space and never joins letters across it, so words between ASCII white space
     are encoded apart and once each.
     """
-    tokenizer, memory = _encoder(path)
-    words = pc.ascii_split_whitespace(texts)
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    encoder = _encoders[path]
+    words = pc.ascii_split_whitespace(_plain_words(texts))
     flat = words.flatten().dictionary_encode()
-    distinct = flat.dictionary.to_pylist()
-    new = [w for w in distinct if w not in memory]
-    fresh = dict(zip(new, (np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    ids = [fresh[w] if w in fresh else memory[w] for w in distinct]
-    for w in new[: max(0, MEMORY - len(memory))]:
-        memory[w] = fresh[w]
-    sizes = np.array([len(x) for x in ids], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    pool = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-    at = flat.indices.to_numpy(zero_copy_only=False)
-    each = sizes[at] if len(at) else np.empty(0, np.int64)
-    ends = np.cumsum(each)
-    take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[at] - (ends - each), each) if len(at) else np.empty(0, np.int64)
-    counts = np.diff(np.asarray(words.offsets))
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    text_starts = np.concatenate([[0], ends])[bounds]
-    return pool[take], text_starts
+    place = encoder.places(flat.dictionary.to_pylist())
+    pool, ends = np.frombuffer(encoder.ids, np.uint32), np.frombuffer(encoder.ends, np.int64)
+    at = place[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+    starts = ends[at]
+    each = ends[at + 1] - starts
+    total = np.concatenate([[0], np.cumsum(each)])
+    take = np.arange(total[-1]) + np.repeat(starts - total[:-1], each)
+    bounds = np.asarray(words.offsets) - words.offsets[0].as_py()
+    ids = pool[take]
+    del pool, ends
+    return ids, total[bounds]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -79,7 +122,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for batch in batches:
             doc_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             none = np.asarray(batch.column(0).is_null())
-            for a, b in slices(texts):
+            for a, b in slices(texts, TEXT_BYTES):
                 ids, starts = encoded(texts[a:b], path)
                 out = []
                 for i in range(b - a):
