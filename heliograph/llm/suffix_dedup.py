@@ -1,11 +1,11 @@
 """Repeated passages by suffix structures: threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 A byte goes if it is covered by a string of ``length`` bytes that also starts anywhere else. The corpus is never
-one suffix array. Every such string has a key that depends on its bytes only, made of the least hashes of its
-GRAM-byte windows under two orders; neighbouring strings mostly share it, so a text falls into runs of strings of one
-key. Keys that only one run has are dropped, by a bit table of fixed size, before any text moves. Runs of equal bytes
-are one row with a count, and the runs of a key meet in one group, where all equal strings are together. The second
-order divides what a passage shared by very many texts would gather under one window.
+one suffix array. Every such string has a key that depends on its bytes only, the least hash of its GRAM-byte
+windows; neighbouring strings mostly share it, so a text falls into runs of strings of one key. Keys that only one run
+has are dropped, by a bit table of fixed size, before any text moves. Runs of equal bytes are one row with a count, and
+the runs of a key meet in one group, where all equal strings are together. Keys that very many runs have, as under a
+passage of very many texts, are divided by the least hash under a second order.
 
 A group's runs are joined by separators and sorted by suffix; from the Burrows-Wheeler transform of that order,
 breadth-first backward extension of intervals derives the common prefixes of neighbouring suffixes by increasing
@@ -28,6 +28,8 @@ from heliograph.session import cut_lineage
 
 LENGTH = 400
 GRAM = 32
+# Runs from which a key is divided.
+HOT_RUNS = 256
 # The least of some hundred windows is nearly always under this.
 SMALL = np.uint64((1 << 64) // 16)
 # Bytes that a task sorts at a time when several small groups come together.
@@ -48,40 +50,66 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
 
 
-def key_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first string, strings, key, whether a string may repeat inside) of the runs of equal keys of a text of at
-    least ``length`` bytes. A string repeats inside a run only if its least window does."""
+def key_runs(
+    data: np.ndarray, length: int, gram: int, hot: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, strings, least hash, key, whether a string may repeat inside) of the runs of equal keys of a text
+    of at least ``length`` bytes. Least hashes in the table ``hot`` are divided by a second order. A string repeats
+    inside a run only if its least window does."""
     with np.errstate(over="ignore"):
         h = prefix_hash(data)
         grams = mixed((h[gram:] - h[:-gram]) * powers(len(data) - gram + 1, "down"))
         one = _least(grams, length - gram + 1)
-        two = _least(mixed(grams ^ np.uint64(0xA5A5F00D5EED1234)), length - gram + 1)
-        starts = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        starts = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
         first = one[starts]
+        key = first
+        divided = np.zeros(len(starts), bool) if hot is None else in_table(hot, first.view(np.int64))
+        if divided.any():
+            two = _least(mixed(grams ^ np.uint64(0xA5A5F00D5EED1234)), length - gram + 1)
+            within = np.repeat(divided, np.diff(np.append(starts, len(one))))
+            starts = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (within[1:] & (two[1:] != two[:-1]))]))
+            first = one[starts]
+            key = np.where(within[starts], mixed(first + mixed(two[starts])), first)
         # least windows are small numbers; those of them that the text holds twice
         small, counts = np.unique(grams[grams < SMALL], return_counts=True)
         twice = small[counts > 1]
         again = first >= SMALL
         if len(twice):
             again |= twice[np.minimum(np.searchsorted(twice, first), len(twice) - 1)] == first
-        return starts, np.diff(np.append(starts, len(one))), mixed(first + mixed(two[starts])), again
+        return starts, np.diff(np.append(starts, len(one))), first, key, again
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of a text of numbers whose last one is the smallest and unique, by prefix doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    n, k = len(text), 1
+    """The suffix array of a text of numbers whose last one is the smallest and unique, by prefix doubling.
+
+    A suffix is ranked by the first place of those it still equals; only such suffixes are sorted again.
+    """
+    n = len(text)
+    symbol = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    bits = max(1, int(symbol.max()).bit_length())
+    k = max(1, 62 // bits)
+    padded = np.concatenate([symbol, np.zeros(k, np.int64)])
+    first = np.zeros(n, np.int64)
+    for j in range(k):
+        first = first << bits | padded[j : j + n]
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(n, np.int64)
+    key, places = first[order], np.arange(n)
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        pair = rank * (n + 2) + second
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
-        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or k >= n:
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        heads = places[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
+        rank[order[places]] = heads
+        alone = head & np.append(head[1:], True)
+        places = places[~alone]
+        if not len(places):
             return order
+        some = order[places]
+        next_rank = rank[np.minimum(some + k, n - 1)]
+        next_rank[some + k >= n] = -1
+        key = rank[some] * (n + 1) + next_rank + 1
+        again = np.argsort(key, kind="stable")
+        order[places] = some[again]
+        key = key[again]
         k *= 2
 
 
@@ -117,7 +145,13 @@ def common_prefix_reaches(bwt: np.ndarray, length: int) -> np.ndarray:
             real = bwt[places] >= 0
             places, which = places[real], which[real]
             to = last_first[places]
-            order = np.lexsort((to, which))
+            # the places of one interval and symbol go to neighbouring places, and no others go between
+            if 8 * len(to) > n:
+                slot = np.full(n, -1, np.int64)
+                slot[to] = np.arange(len(to))
+                order = slot[slot >= 0]
+            else:
+                order = np.argsort(to)
             to, which, symbol = to[order], which[order], bwt[places[order]]
             if len(to):
                 start = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (symbol[1:] != symbol[:-1])]))
@@ -165,27 +199,28 @@ def spans_of(positions: np.ndarray) -> np.ndarray:
     return np.column_stack([positions[starts], np.diff(np.append(starts, len(positions)))])
 
 
-def _runs(texts: pa.Array, length: int, gram: int):
-    """(text number, bytes, first string, strings, key, repeats inside) of each text that is long enough."""
+def _runs(texts: pa.Array, length: int, gram: int, hot: np.ndarray | None = None):
+    """(text number, bytes, first string, strings, least hash, key, repeats inside) of each text that is long enough."""
     for a, b in slices(texts):
         data, at = bytes_of(texts[a:b])
         for i in range(b - a):
             one = data[at[i] : at[i + 1]]
             if len(one) >= length:
-                yield a + i, one, *key_runs(one, length, gram)
+                yield a + i, one, *key_runs(one, length, gram, hot)
 
 
-def _shared_keys(rows: DataFrame, length: int, gram: int) -> np.ndarray:
-    """A filter table of the keys of two runs or more and of runs that may repeat a string."""
+def _key_tables(rows: DataFrame, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filter tables of the least hashes of two runs or more (or of one that may repeat a string), and of HOT_RUNS or more."""
 
     def emit(batches):
         for batch in batches:
-            found = [y for x in _runs(batch.column(0), length, gram) for y in (x[4], x[4][x[5]])]
+            found = [y for x in _runs(batch.column(0), length, gram) for y in (x[4], x[4][x[6]])]
             if found:
                 yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
-    keys = rows.select("text").mapInArrow(emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return filter_table(keys.select("key"))
+    counted = rows.select("text").mapInArrow(emit, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = cut_lineage(counted)
+    return filter_table(counted.select("key")), filter_table(counted.where(F.col("n") >= HOT_RUNS).select("key"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -197,14 +232,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("tkey", F.unhex(F.md5("text")))
-    table = spark.sparkContext.broadcast(_shared_keys(rows, length, gram))
+    shared, hot = (spark.sparkContext.broadcast(t) for t in _key_tables(rows, length, gram))
 
     def cut(batches):
         for batch in batches:
             texts, out, held = batch.column(0), [], 0
             tkeys = batch.column(1)
-            for i, data, first, strings, key, _ in _runs(texts, length, gram):
-                for j in np.flatnonzero(in_table(table.value, key.view(np.int64))).tolist():
+            for i, data, first, strings, least, key, _ in _runs(texts, length, gram, hot.value):
+                for j in np.flatnonzero(in_table(shared.value, least.view(np.int64))).tolist():
                     content = data[first[j] : first[j] + strings[j] + length - 1].tobytes()
                     out.append((tkeys[i].as_py(), int(first[j]), int(strings[j]), int(key[j : j + 1].view(np.int64)[0]), hashlib.md5(content).digest(), content))
                     held += len(content)
