@@ -26,7 +26,7 @@ END_ID = 1
 # Rounds of multiplicative weights, and how far a price falls when its length is covered once.
 ROUNDS, FALL = 300, 3.0
 # Words whose ids a worker remembers before it starts anew, and text bytes it takes at a time.
-MEMORY, TEXT_BYTES = 250_000, 1 << 21
+MEMORY, TEXT_BYTES = 600_000, 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
