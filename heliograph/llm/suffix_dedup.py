@@ -5,7 +5,8 @@ one suffix array. Every such string has a key that depends on its bytes only, th
 windows; neighbouring strings mostly share it, so a text falls into runs of strings of one key. Keys that only one run
 has are dropped, by a bit table of fixed size, before any text moves. Runs of equal bytes are one row with a count, and
 the runs of a key meet in one group, where all equal strings are together. Keys that very many runs have, as under a
-passage of very many texts, are divided by the least hash under a second order.
+passage of very many texts, are divided by the least hash under a second order. A key whose distinct runs still hold
+more than GROUP_BYTES is no group: its strings are counted one by one by their digests, so a group is bounded.
 
 A group's runs are joined by separators and sorted by suffix; from the Burrows-Wheeler transform of that order,
 breadth-first backward extension of intervals derives the common prefixes of neighbouring suffixes by increasing
@@ -32,8 +33,10 @@ GRAM = 32
 HOT_RUNS = 256
 # The least of some hundred windows is nearly always under this.
 SMALL = np.uint64((1 << 64) // 16)
-# Bytes that a task sorts at a time when several small groups come together.
+# Bytes of the largest group that is sorted, and those that a task sorts at a time when several small groups come together.
 GROUP_BYTES = 1 << 20
+# Strings that a task counts or sends at a time.
+COUNT_STRINGS = 1 << 18
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -223,6 +226,74 @@ def _key_tables(rows: DataFrame, length: int, gram: int) -> tuple[np.ndarray, np
     return filter_table(counted.select("key")), filter_table(counted.where(F.col("n") >= HOT_RUNS).select("key"))
 
 
+def _string_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the string at each position that has one."""
+    with np.errstate(over="ignore"):
+        h = prefix_hash(data)
+        return mixed((h[length:] - h[:-length]) * powers(len(data) - length + 1, "down")).view(np.int64)
+
+
+def _hits_by_digest(runs: DataFrame, length: int) -> DataFrame:
+    """(run, hits) of distinct runs (run, content, n), whose keys are too large for a group.
+
+    Strings whose 64-bit hash comes once go by a filter table of fixed size; the rest are counted by MD5. A run leaves
+    for a string at most a row, and only if the string may repeat."""
+
+    def count(batches):
+        def flush(held):
+            values, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.zeros(len(values), np.int64)
+            np.add.at(n, at, np.repeat([c for _, c in held], [len(h) for h, _ in held]))
+            return pa.record_batch([pa.array(values), pa.array(n)], ["h", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for content, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                held.append((_string_hashes(np.frombuffer(content.as_buffer(), np.uint8), length), n))
+                size += len(held[-1][0])
+                if size > COUNT_STRINGS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    counted = runs.select("content", "n").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    several = runs.sparkSession.sparkContext.broadcast(filter_table(counted.where("n > 1").select("h")))
+
+    def send(batches):
+        def flush(held):
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array([x[i] for x in held], k) for i, k in enumerate(kinds)], ["digest", "run", "at", "n"])
+
+        held = []
+        for batch in batches:
+            for run, content, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                some = np.flatnonzero(in_table(several.value, _string_hashes(np.frombuffer(content, np.uint8), length)))
+                for at in some.tolist():
+                    held.append((hashlib.md5(content[at : at + length]).digest(), run, at, n))
+                    if len(held) >= COUNT_STRINGS:
+                        yield flush(held)
+                        held = []
+        if held:
+            yield flush(held)
+
+    sent = cut_lineage(runs.select("run", "content", "n").mapInArrow(send, "digest binary, run binary, at long, n long"))
+    repeated = cut_lineage(sent.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"))
+    hit = sent.join(repeated, "digest", "left_semi")
+    # the first position of each range of neighbours, and the number of them
+    placed = hit.select("run", "at").groupBy("run").agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+    def span(batches):
+        for batch in batches:
+            hits = [[{"at": int(a), "n": int(n)} for a, n in spans_of(np.array(at, np.int64))] for at in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(hits, _HITS)], ["run", "hits"])
+
+    return placed.mapInArrow(span, "run binary, hits array<struct<at: long, n: long>>")
+
+
+_HITS = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per input row: doc_id, text, spans - the byte ranges [start, end) to remove, in order, apart and without overlap.
 
@@ -250,7 +321,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 yield _pieces(out)
 
     pieces = cut_lineage(rows.select("text", "tkey").mapInArrow(cut, "tkey binary, first long, strings long, key long, run binary, content binary"))
-    distinct = pieces.groupBy("key", "run").agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("n"))
+    sizes = pieces.select("key", "run", "strings").distinct().groupBy("key").agg(F.sum(F.col("strings") + (length - 1)).alias("bytes"))
+    large = cut_lineage(sizes.where(F.col("bytes") > GROUP_BYTES).select("key"))
+
+    def runs_of(some: DataFrame) -> DataFrame:
+        return some.groupBy("key", "run").agg(F.first("content").alias("content"), F.count(F.lit(1)).alias("n"))
+
+    distinct = runs_of(pieces.join(large, "key", "left_anti"))
     distinct = distinct.repartition("key").sortWithinPartitions("key", "run")
 
     def judge(batches):
@@ -266,7 +343,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         if held:
             yield _judged(held, length)
 
-    found = cut_lineage(distinct.select("key", "run", "content", "n").mapInArrow(judge, "run binary, hits array<struct<at: long, n: long>>"))
+    found = distinct.select("key", "run", "content", "n").mapInArrow(judge, "run binary, hits array<struct<at: long, n: long>>")
+    if not large.isEmpty():
+        found = found.unionByName(_hits_by_digest(cut_lineage(runs_of(pieces.join(large, "key", "left_semi"))), length))
+    found = cut_lineage(found)
     owners = pieces.select("tkey", "first", "run").distinct()
     hits = owners.join(found, "run").select("tkey", "first", F.explode("hits").alias("hit"))
     spans = hits.select("tkey", (F.col("first") + F.col("hit.at")).alias("a"), (F.col("first") + F.col("hit.at") + F.col("hit.n") - 1 + length).alias("b"))
@@ -297,8 +377,7 @@ def _judged(held: list[tuple], length: int) -> pa.RecordBatch:
             hits[i] = h
     some = [i for i, h in enumerate(hits) if len(h)]
     values = [[{"at": int(a), "n": int(n)} for a, n in spans_of(hits[i])] for i in some]
-    kind = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
-    return pa.record_batch([pa.array([held[i][1] for i in some], pa.binary()), pa.array(values, kind)], ["run", "hits"])
+    return pa.record_batch([pa.array([held[i][1] for i in some], pa.binary()), pa.array(values, _HITS)], ["run", "hits"])
 
 
 def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:

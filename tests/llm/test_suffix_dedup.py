@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from heliograph.llm import suffix_dedup
 from heliograph.llm.suffix_dedup import repeated_strings, without_repeats
 from tests.llm.conftest import make_docs, prose
 
@@ -62,5 +63,26 @@ def test_passages_in_many_contexts(spark):
     compare(spark, rows, 100, 16)
 
 
+def test_no_group_above_the_bound(spark, monkeypatch):
+    """A passage of half of the texts, whose edges are distinct in each: its runs are not sorted together."""
+    bound, judged = 20_000, suffix_dedup._judged
+
+    def bounded(held, length):
+        sizes = Counter()
+        for row in held:
+            sizes[row[0]] += len(row[2])
+        assert max(sizes.values()) <= bound
+        return judged(held, length)
+
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", bound)
+    monkeypatch.setattr(suffix_dedup, "_judged", bounded)
+    rng = random.Random(13)
+    for words in (12, 30):  # shorter and longer than the strings
+        passage = prose(rng, words, 100_000)
+        rows = [(i, prose(rng, 40, 100_000) + (f" {passage} " if i % 2 else " ") + prose(rng, 40, 100_000), "s") for i in range(600)]
+        rows += [(900, rows[1][1], "s"), (901, "z" * 30_000, "s"), (902, "y" + "z" * 30_000, "s")]
+        compare(spark, rows, 100, 16)
+
+
 def test_empty_table(no_docs):
     assert without_repeats(no_docs).collect() == []
