@@ -15,6 +15,7 @@ from heliograph.llm.sharding import shard_digest
 from heliograph.llm.suffix_dedup import without_repeats
 from heliograph.llm.toxicity import toxicity_scores
 from heliograph.llm.warc import round_trip
+from heliograph.llm.whitening import whitened
 from heliograph.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,11 +69,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered_turns(table(spark, sf_dir, "conversations"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as a long; null where it needs more than 63 bits."""
+    return whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_ngram_jaccard, op3_embedding_dedup, op4_sharding, op5_mixing,
-        op6_suffix_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_chat,
+        op6_suffix_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_chat, op13_whitening,
     )
 }
 
