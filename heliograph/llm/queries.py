@@ -11,6 +11,7 @@ from heliograph.llm.exact_dedup import exact_groups
 from heliograph.llm.mixing import mixed_counts
 from heliograph.llm.ngram_join import ngram_groups
 from heliograph.llm.packing import pack_documents
+from heliograph.llm.secret_scan import scan_digest
 from heliograph.llm.sharding import shard_digest
 from heliograph.llm.suffix_dedup import without_repeats
 from heliograph.llm.toxicity import toxicity_scores
@@ -69,6 +70,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered_turns(table(spark, sf_dir, "conversations"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``deviation`` as a long; null where it needs more than 63 bits."""
     return whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
@@ -78,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_ngram_jaccard, op3_embedding_dedup, op4_sharding, op5_mixing,
-        op6_suffix_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_chat, op13_whitening,
+        op6_suffix_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_chat, op12_secret_scan, op13_whitening,
     )
 }
 
