@@ -15,6 +15,7 @@ from heliograph.llm.secret_scan import scan_digest
 from heliograph.llm.sharding import shard_digest
 from heliograph.llm.suffix_dedup import without_repeats
 from heliograph.llm.toxicity import toxicity_scores
+from heliograph.llm.trie import prefix_trie
 from heliograph.llm.warc import round_trip
 from heliograph.llm.whitening import whitened
 from heliograph.tables import table
@@ -70,6 +71,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered_turns(table(spark, sf_dir, "conversations"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_digest(table(spark, sf_dir, "documents"))
 
@@ -83,7 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_ngram_jaccard, op3_embedding_dedup, op4_sharding, op5_mixing,
-        op6_suffix_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_chat, op12_secret_scan, op13_whitening,
+        op6_suffix_dedup, op7_toxicity, op8_packing, op9_exact_dedup, op10_chat, op11_prefix_trie, op12_secret_scan, op13_whitening,
     )
 }
 
@@ -128,4 +133,34 @@ ORACLES = {
                CASE WHEN page_id <> best THEN best END AS refers_to
         FROM q
     """,
+    "op11_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS at
+            FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (
+            SELECT c, c - c % 20 AS head,
+                   xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                       lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)),
+                           lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+            FROM (SELECT DISTINCT c FROM t)),
+        r AS (
+            SELECT k.c, t.at, role, text FROM k JOIN t ON t.c = k.head AND t.at < k.h
+            UNION ALL SELECT k.c, t.at + 1000000, role, text FROM k JOIN t ON t.c = k.c AND t.at >= k.h),
+        p AS (
+            SELECT c, row_number() OVER w AS d, text, md5(list(struct_pack(role, text)) OVER w::VARCHAR) AS node FROM r WINDOW w AS (PARTITION BY c ORDER BY at)),
+        path AS (SELECT c, d, text, node FROM p UNION ALL SELECT c, 0, '', '' FROM k),
+        ends AS (SELECT c, max(d) AS n FROM path GROUP BY c),
+        n AS (
+            SELECT path.node, any_value(d) AS depth, min(path.c) AS conv_id, count(*) AS n_convs,
+                   (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS own,
+                   sha256(coalesce(string_agg(path.c::VARCHAR, ',' ORDER BY path.c) FILTER (d = n), '')) AS ends_sha256
+            FROM path JOIN ends USING (c) GROUP BY path.node),
+        up AS (SELECT n.node, b.node AS above, n.depth - b.d AS steps FROM n JOIN path b ON b.c = n.conv_id AND b.d <= n.depth),
+        kids AS (SELECT above AS node, count(*) AS n_children FROM up WHERE steps = 1 GROUP BY above),
+        sums AS (SELECT above AS node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (kids.node IS NULL) AS n_leaves
+                 FROM up JOIN n USING (node) LEFT JOIN kids USING (node) GROUP BY above)
+        SELECT n.conv_id, n.depth, parent.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+        FROM n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN up ON up.node = n.node AND steps = 1 LEFT JOIN n parent ON parent.node = up.above
+    """,
 }
