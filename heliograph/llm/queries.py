@@ -136,7 +136,7 @@ ORACLES = {
     "op11_prefix_trie": r"""
         WITH t AS (
             SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS at
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
             FROM conversations WHERE conv_id IS NOT NULL),
         k AS (
             SELECT c, c - c % 20 AS head,
@@ -145,10 +145,10 @@ ORACLES = {
                            lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
             FROM (SELECT DISTINCT c FROM t)),
         r AS (
-            SELECT k.c, t.at, role, text FROM k JOIN t ON t.c = k.head AND t.at < k.h
-            UNION ALL SELECT k.c, t.at + 1000000, role, text FROM k JOIN t ON t.c = k.c AND t.at >= k.h),
+            SELECT k.c, t.place AS place, role, text FROM k JOIN t ON t.c = k.head AND t.place < k.h
+            UNION ALL SELECT k.c, t.place + 1000000, role, text FROM k JOIN t ON t.c = k.c AND t.place >= k.h),
         p AS (
-            SELECT c, row_number() OVER w AS d, text, md5(list(struct_pack(role, text)) OVER w::VARCHAR) AS node FROM r WINDOW w AS (PARTITION BY c ORDER BY at)),
+            SELECT c, row_number() OVER w AS d, text, md5(list(struct_pack(role, text)) OVER w::VARCHAR) AS node FROM r WINDOW w AS (PARTITION BY c ORDER BY place)),
         path AS (SELECT c, d, text, node FROM p UNION ALL SELECT c, 0, '', '' FROM k),
         ends AS (SELECT c, max(d) AS n FROM path GROUP BY c),
         n AS (
