@@ -29,8 +29,8 @@ from heliograph.session import cut_lineage
 
 # Turns of one array of names.
 PART = 256
-# Batches by a hash out of 64: the first below 1, the second below 8, then the rest.
-BATCHES = (1, 8, 64)
+# Batches by a hash out of 64: the first below 2, then the rest.
+BATCHES = (2, 64)
 # Copies of a dictionary row, so that probes for one hot prefix are many join keys.
 SALTS = 8
 # Conversation ids of one row of a list of ends; they are distinct, so it is a bound.
@@ -134,33 +134,62 @@ def _with_keys(nodes: DataFrame, prefixes: _Prefixes) -> DataFrame:
     return named.select("e", "h", "p", "q", "rep", "f", F.col("_f.h").alias("g"), F.col("_c.h").alias("c"))
 
 
-def locate(batch: DataFrame, nodes: DataFrame, prefixes: _Prefixes) -> DataFrame:
-    """(conv, n, m, hm, edge) of the conversations (conv, n): m is the length of the longest prefix that the trie has,
-    hm its name; edge is the node (e, h, p, q, rep) on whose edge it ends, null if it ends at a node."""
-    state = cut_lineage(batch.select("conv", "n", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
-    settled = []
-    handles = nodes.where("e > 0").select("f", "g", F.col("e"), F.col("h"), F.col("p"))
+def _part(depth: Column) -> Column:
+    """The part that holds the name of this depth as one of its own."""
+    return F.floor((F.greatest(depth, F.lit(1)) - 1) / PART).cast("long")
+
+
+def _located(batch: DataFrame, nodes: DataFrame, prefixes: _Prefixes) -> DataFrame:
+    """(conv, n, lo, a, part): lo is the depth of the deepest node that a conversation (conv, n) matches whole, a the
+    part of its names with depth lo + 1 (n, if it ends there).
+
+    Rows carry one part of their names; a round probes one handle for each row that has the depth at hand, and checks the
+    extent of the node it meets. Rows that need another part fetch it first.
+    """
+    handles = nodes.where("e > 0").select("f", "g", "e", "h", "p")
+    # (e, h, p) is the node met last, while its extent lies in another part
+    state = batch.select("conv", "n", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"), *(F.lit(None).cast(t).alias(c) for c, t in (("e", "long"), ("h", NAME), ("p", "long"))))
+    state = cut_lineage(state.withColumn("part", F.lit(0).cast("long")).join(prefixes.table, ["conv", "part"]))
+    name = lambda depth: F.get("a", (depth - F.col("part") * PART).cast("int"))["h"]
+    probe = F.when(F.col("lo") < F.col("hi"), fattest(F.col("lo"), F.col("hi")))
+    needed = F.coalesce("e", probe, F.least(F.col("lo") + 1, "n"))
     while True:
-        settled.append(state.where("lo >= hi").select("conv", "n", "lo"))
-        going = state.where("lo < hi").withColumn("f", fattest(F.col("lo"), F.col("hi")))
-        if going.isEmpty():
-            break
-        probes = prefixes.at(going, "conv", F.col("f"), "_f").withColumn("g", F.col("_f.h")).drop("_f")
-        met = _spread(probes, handles, ["f", "g"], "conv", "left")
-        met = prefixes.at(met, "conv", F.least(F.coalesce("e", F.lit(0)), "n"), "_e")
-        whole = (F.col("e") <= F.col("n")) & (F.col("_e.h") == F.col("h"))
-        lost = F.col("e").isNull()
+        far = _part(needed) != F.col("part")
+        todo = state.agg(F.count_if(far).alias("far"), F.count_if(F.col("lo") < F.col("hi")).alias("going")).first()
+        if todo.far:
+            moved = state.where(far).withColumn("part", _part(needed)).drop("a").join(prefixes.table, ["conv", "part"])
+            state = cut_lineage(state.where(~far).unionByName(moved.select(*state.columns)))
+        if not todo.going:
+            if not todo.far:
+                return state.select("conv", "n", "lo", "part", "a")
+            continue
+        whole = name(F.col("e")) == F.col("h")
+        checked = state.select(
+            "conv", "n", "part", "a", F.when(F.col("e").isNull(), F.col("lo")).when(whole, F.col("e")).otherwise(F.col("p")).alias("lo"),
+            F.when(F.col("e").isNull() | whole, F.col("hi")).otherwise(F.col("p")).alias("hi"),
+        )
+        asked = checked.withColumn("f", probe).withColumn("g", F.when(_part(F.col("f")) == F.col("part"), name(F.col("f"))))
+        met = _spread(asked, handles, ["f", "g"], "conv", "left")
+        waits, lost = F.col("g").isNull(), F.col("e").isNull()
+        short = F.col("e") > F.col("n")
+        later = ~short & (_part(F.col("e")) != F.col("part"))
+        whole = ~short & (name(F.col("e")) == F.col("h"))
+        decided = lambda keep, miss, hit, part: F.when(waits | (~lost & later), keep).when(lost, miss).when(whole, hit).otherwise(part)
         state = cut_lineage(met.select(
-            "conv", "n", F.when(lost, F.col("lo")).when(whole, F.col("e")).otherwise(F.col("p")).alias("lo"),
-            F.when(lost, F.col("f") - 1).when(whole, F.col("hi")).otherwise(F.col("p")).alias("hi"),
+            "conv", "part", "n", decided(F.col("lo"), F.col("lo"), F.col("e"), F.col("p")).alias("lo"),
+            decided(F.col("hi"), F.col("f") - 1, F.col("hi"), F.col("p")).alias("hi"),
+            *(F.when(~waits & ~lost & later, F.col(c)).alias(c) for c in ("e", "h", "p")), "a",
         ))
-    deepest = settled[0]
-    for more in settled[1:]:
-        deepest = deepest.unionByName(more)
+
+
+def locate(batch: DataFrame, nodes: DataFrame, prefixes: _Prefixes) -> DataFrame:
+    """(conv, n, m, hm, edge) of the conversations (conv, n): m is the length of the longest prefix that the trie has,
+    hm its name; edge is the node (e, h, p, q, rep) on whose edge it ends, null if it ends at a node."""
+    deepest = _located(batch, nodes, prefixes)
     # the child by the next turn; comparing names along its edge
-    asked = prefixes.at(deepest, "conv", F.least(F.col("lo") + 1, F.col("n")), "_c").withColumn("c", F.col("_c.h")).drop("_c")
+    asked = deepest.withColumn("c", F.when(F.col("lo") < F.col("n"), F.get("a", (F.col("lo") + 1 - F.col("part") * PART).cast("int"))["h"])).drop("a", "part")
     edges = nodes.where("e > 0").select(F.col("p").alias("lo"), "c", F.struct("e", "h", "p", "q", "rep").alias("edge"))
-    asked = cut_lineage(_spread(asked, edges, ["lo", "c"], "conv", "left").withColumn("edge", F.when(F.col("lo") < F.col("n"), F.col("edge"))).drop("c"))
+    asked = cut_lineage(_spread(asked, edges, ["lo", "c"], "conv", "left").drop("c"))
     last = F.least("n", "edge.e")
     parts = asked.where("edge is not null").select(
         "conv", "lo", last.alias("last"), F.col("edge.rep").alias("rep"), F.explode(F.expr(f"sequence(lo div {PART}, (least(n, edge.e) - 1) div {PART})")).alias("part"))
@@ -199,15 +228,17 @@ def insert(nodes: DataFrame, batch: DataFrame, prefixes: _Prefixes) -> DataFrame
     return cut_lineage(stay.unionByName(_with_keys(pieces.unionByName(new), prefixes).select(*stay.columns)))
 
 
-def _summed(nodes: DataFrame, steps: list[DataFrame], sums: dict[str, str]) -> DataFrame:
-    """(id, sums) over each node and what is below it, by pointer doubling: ``steps[k]`` gives (id, up), the ancestor
-    2**k above. ``sums`` names the columns and their aggregates."""
-    now = nodes.select("id", *sums)
-    for step in steps:
-        given = now.join(step, "id").groupBy(F.col("up").alias("id")).agg(*(getattr(F, f)(c).alias(f"_{c}") for c, f in sums.items()))
-        both = {"sum": lambda c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)), "min": lambda c: F.least(c, f"_{c}")}
-        now = cut_lineage(now.join(given, "id", "left").select("id", *(both[f](c).alias(c) for c, f in sums.items())))
-    return now
+def _summed(tree: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """(id, sums) over each node and what is below it, by pointer doubling on (id, up): after k rounds a node has what is
+    less than 2**k below it, and up is its ancestor 2**k above. ``sums`` names the columns and their aggregates."""
+    now, any_up = cut_lineage(tree.select("id", "up", *sums)), True
+    add = {"sum": lambda c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)), "min": lambda c: F.least(c, f"_{c}")}
+    while any_up:
+        given = now.where("up is not null").groupBy(F.col("up").alias("id")).agg(*(getattr(F, f)(c).alias(f"_{c}") for c, f in sums.items()))
+        higher = now.where("up is not null").select(F.col("id").alias("up"), F.col("up").alias("_upper"))
+        now = cut_lineage(_spread(now.join(given, "id", "left"), higher, ["up"], "id", "left").select("id", F.col("_upper").alias("up"), *(add[f](c).alias(c) for c, f in sums.items())))
+        any_up = not now.where("up is not null").isEmpty()
+    return now.drop("up")
 
 
 def _ends(convs: DataFrame) -> DataFrame:
@@ -215,7 +246,9 @@ def _ends(convs: DataFrame) -> DataFrame:
     range, which one stream per place then hashes in order."""
     runs = convs.groupBy(F.col("n").alias("e"), "h", F.expr(f"conv div {RUN_IDS}").alias("run"), (F.col("conv") < 0).alias("plus")).agg(F.array_sort(F.collect_list("conv")).alias("ids"))
     runs = runs.select("e", "h", F.element_at("ids", 1).alias("start"), F.size("ids").cast("long").alias("m"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
-    ordered = runs.repartition("e", "h").sortWithinPartitions("e", "h", "start")
+    # a count is named, as adaptive execution would put the few, small rows into one task
+    tasks = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = runs.repartition(tasks, "e", "h").sortWithinPartitions("e", "h", "start")
 
     def digest(batches):
         key, state, first, count = None, None, None, 0
@@ -279,15 +312,13 @@ def trie_nodes(turns: DataFrame, convs: DataFrame | None = None) -> DataFrame:
     tree = prefixes.at(tree, "rep", F.col("p"), "_p")
     tree = cut_lineage(tree.select("id", "e", "h", "p", "q", "rep", "up", "n_children", F.col("ends").alias("n_convs"), F.col("first").alias("conv_id"),
                                    (F.col("n_children") == 0).cast("long").alias("n_leaves"), F.col("_e.w").alias("upto"), (F.col("_e.w") - F.col("_p.w")).alias("words")))
-    step, steps = cut_lineage(tree.where("up is not null").select("id", "up")), []
-    while not step.isEmpty():
-        steps.append(step)
-        step = cut_lineage(_spread(step, step.select(F.col("id").alias("up"), F.col("up").alias("upper")), ["up"], "id").select("id", F.col("upper").alias("up")))
-    counts = _summed(tree, steps, {"n_convs": "sum", "conv_id": "min", "n_leaves": "sum"})
-    tree = cut_lineage(tree.drop("n_convs", "conv_id", "n_leaves").join(counts, "id").withColumn("saved", (F.col("n_convs") - 1) * F.col("words")))
-    subtree = _summed(tree, steps, {"saved": "sum"}).select("id", F.col("saved").alias("deep"))
-    tree = tree.join(subtree, "id").join(ends.select("e", "h", "ends_sha256"), ["e", "h"], "left")
-    tree = _spread(tree, counts.select(F.col("id").alias("up"), F.col("conv_id").alias("_parent")), ["up"], "id", "left")
+    counts = _summed(tree.withColumn("gone", F.col("n_convs") * F.col("upto")).withColumn("distinct", F.col("words")),
+                     {"n_convs": "sum", "conv_id": "min", "n_leaves": "sum", "gone": "sum", "distinct": "sum"})
+    # of an edge and what is below it: words down to all ends, less those above the edge, less each word once
+    deep = F.col("gone") - F.col("n_convs") * (F.col("upto") - F.col("words")) - F.col("distinct")
+    kept = tree.select("id", "e", "p", "rep", "up", "n_children", "upto", "words", "h")
+    tree = kept.join(counts, "id").withColumn("deep", deep).join(ends.select("e", "h", "ends_sha256"), ["e", "h"], "left")
+    tree = cut_lineage(_spread(tree, counts.select(F.col("id").alias("up"), F.col("conv_id").alias("_parent")), ["up"], "id", "left"))
 
     # edges expanded to a node per depth
     first = whole.agg(F.min("conv")).scalar()
@@ -298,15 +329,15 @@ def trie_nodes(turns: DataFrame, convs: DataFrame | None = None) -> DataFrame:
     each = held.select("*", F.explode(F.expr(f"sequence(greatest(p + 1 - part * {PART}, 1L), least(e - part * {PART}, {PART}L))")).alias("i"))
     depth = F.col("part") * PART + F.col("i")
     at_end = depth == F.col("e")
-    # words from this depth to the end of the edge count for all that share it
-    saved = (F.col("n_convs") - 1) * (F.col("upto") - F.get("a", (F.col("i") - 1).cast("int"))["w"]) + F.col("deep") - F.col("saved")
+    above = F.get("a", (F.col("i") - 1).cast("int"))["w"] - (F.col("upto") - F.col("words"))  # words of the edge above this depth
+    saved = F.col("deep") - (F.col("n_convs") - 1) * above
     inner = each.select(
         "conv_id", depth.alias("depth"), F.when(depth > F.col("p") + 1, F.col("conv_id")).otherwise(F.coalesce("_parent", first)).alias("parent_conv_id"),
         "n_convs", F.when(at_end, F.col("n_children")).otherwise(1).alias("n_children"), "n_leaves", saved.alias("saved_tokens"),
         F.when(at_end, F.coalesce("ends_sha256", empty)).otherwise(empty).alias("ends_sha256"),
     )
     top = whole.agg(F.min("conv").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
-    at_root = tree.agg(F.sum(F.when(F.col("p") == 0, 1).otherwise(0)).alias("n_children"), F.sum(F.when(F.col("n_children") == 0, 1).otherwise(0)).alias("leaves"), F.sum("saved").alias("saved"))
+    at_root = tree.agg(F.sum(F.when(F.col("p") == 0, 1).otherwise(0)).alias("n_children"), F.sum(F.when(F.col("n_children") == 0, 1).otherwise(0)).alias("leaves"), F.sum(F.when(F.col("p") == 0, F.col("deep")).otherwise(0)).alias("saved"))
     rooted = ends.where("e = 0").agg(F.max("ends_sha256").alias("ends_sha256"))
     root = top.crossJoin(at_root).crossJoin(rooted).select(  # three single rows
         "conv_id", F.lit(0).cast("long").alias("depth"), none.alias("parent_conv_id"), "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
