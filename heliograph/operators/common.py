@@ -33,6 +33,22 @@ def minmax_scaled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({out: scaled(c) for c, out in columns.items()})
 
 
+# Chunk totals that one window of the carrying level takes.
+FAN = 4096
+
+
+def _before(totals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _chunk, _offset): the sum of ``_total`` over smaller chunks, in two levels, so that
+    the chunks of one key are not one task."""
+    grouped = totals.withColumn("_group", F.floor(F.col("_chunk") / FAN))
+    groups = grouped.groupBy(*keys, "_group").agg(F.sum("_total").alias("_sum"))
+    up = W.partitionBy(*keys).orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    base = groups.select(*keys, "_group", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_base"))
+    inside = W.partitionBy(*keys, "_group").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    near = grouped.withColumn("_near", F.coalesce(F.sum("_total").over(inside), F.lit(0)))
+    return near.join(base, [*keys, "_group"]).select(*keys, "_chunk", (F.col("_near") + F.col("_base")).alias("_offset"))
+
+
 def prefix_sum(
     df: DataFrame, keys: list[str], seq: str, value: Column, out: str, chunk: int | Column = 65536
 ) -> DataFrame:
@@ -41,13 +57,12 @@ def prefix_sum(
     ``seq`` is unique per key; it is a non-negative whole number unless ``chunk``
     gives a chunk number that grows with it. A key may hold most of the
     rows, so a window by key alone would be one task: sums run inside chunks of
-    ``seq`` and a second, far smaller window carries the chunk totals.
+    ``seq``, and chunk totals are carried in two levels of FAN chunks each.
     """
     chunk_of = chunk if isinstance(chunk, Column) else F.floor(F.col(seq) / chunk)
     spread = df.withColumns({"_chunk": chunk_of, "_value": value})
     totals = spread.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    offsets = _before(totals, keys)
     inside = W.partitionBy(*keys, "_chunk").orderBy(seq).rowsBetween(W.unboundedPreceding, 0)
     return (
         spread.withColumn("_inside", F.sum("_value").over(inside))

@@ -174,8 +174,49 @@ def shortest_paths(edges: DataFrame, source: str) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """One row with the path, or none when the target is out of reach."""
-    return shortest_paths(edges, source).filter(F.col("id") == target)
+    """One row (id, cost, path) of the cheapest path, or none when the target is out of reach.
+
+    Delta-stepping: of the nodes whose cost fell, those within one average step of the
+    cheapest relax their edges together. A round writes improvements with their
+    predecessors only; what costs as much as the target is not followed. The path is read
+    back from the predecessors in the end; of equally cheap ones the smallest counts.
+    """
+    spark = edges.sparkSession
+    steps = cut_lineage(
+        edges.filter(F.col("weight") > 0).groupBy("from_node", "to_node").agg((1.0 / F.max("weight")).alias("step"))
+    )
+    width = steps.agg(F.avg("step")).first()[0] or 1.0
+    reached = cut_lineage(spark.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("pred")))
+    pending = reached
+    while True:
+        known = reached.groupBy("id").agg(F.min(F.struct("cost", "pred")).alias("b")).select("id", "b.*")
+        low = pending.agg(F.min("cost")).first()[0]
+        bound = reached.filter(F.col("id") == target).agg(F.min("cost")).first()[0]
+        if low is None or (bound is not None and low >= bound):
+            break
+        near = F.col("cost") < low + width
+        relaxed = (
+            pending.filter(near).join(steps, F.col("id") == F.col("from_node"))
+            .groupBy(F.col("to_node").alias("id"))
+            .agg(F.min(F.struct((F.col("cost") + F.col("step")).alias("cost"), F.col("from_node").alias("pred"))).alias("b"))
+            .select("id", "b.*")
+        )
+        if bound is not None:
+            relaxed = relaxed.filter(F.col("cost") < bound)
+        old = known.select("id", F.col("cost").alias("known"))
+        improved = cut_lineage(
+            relaxed.join(old, "id", "left").filter(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known")
+        )
+        reached = reached.unionByName(improved)
+        later = pending.filter(~near).unionByName(improved)
+        pending = cut_lineage(later.groupBy("id").agg(F.min(F.struct("cost", "pred")).alias("b")).select("id", "b.*"))
+    tree = cut_lineage(known)
+    path, at, cost = [], target, bound
+    while cost is not None and at is not None:
+        path.append(at)
+        at = tree.filter(F.col("id") == at).first()["pred"]
+    rows = [(target, float(cost), path[::-1])] if path else []
+    return spark.createDataFrame(rows, "id string, cost double, path array<string>")
 
 
 # -- ranking ------------------------------------------------------------------------

@@ -88,11 +88,22 @@ def diversity_cap(df: DataFrame, topic: Column, order: list[Column], cap: int =
     return ranked.filter(F.col("_rn") <= cap).drop("_topic", "_rn")
 
 
+# The longest row-number limit that Spark also applies before the shuffle.
+CUT_EARLY = 1000
+
+
 def platform_quota(df: DataFrame, platform: str, seq: str) -> DataFrame:
-    """The first quota rows of each platform by ``seq``; no quota, no cut."""
-    ranked = prefix_sum(df, [platform], seq, F.lit(1), "_rank")
-    quota = dims.lookup({p: v[1] for p, v in dims.PLATFORMS.items()}, F.col(platform))
-    return ranked.filter(F.col("_rank") <= F.coalesce(quota, F.col("_rank"))).drop("_rank")
+    """The first quota rows of each platform by ``seq``; no quota, no cut. Quotas of at most
+    CUT_EARLY are row-number limits that Spark also applies before the shuffle, so a hot
+    platform stays small; larger ones are counted in chunks."""
+    quotas = {p: v[1] for p, v in dims.PLATFORMS.items()}
+    most = max([q for q in quotas.values() if q <= CUT_EARLY], default=0)
+    limited = df.withColumn("_quota", dims.lookup(quotas, F.col(platform)))
+    few = limited.filter(F.col("_quota") <= CUT_EARLY).withColumn("_rank", F.row_number().over(W.partitionBy(platform).orderBy(seq)))
+    few = few.filter(F.col("_rank") <= most).filter(F.col("_rank") <= F.col("_quota"))
+    many = prefix_sum(limited.filter(F.col("_quota") > CUT_EARLY), [platform], seq, F.lit(1), "_rank").filter(F.col("_rank") <= F.col("_quota"))
+    free = limited.filter(F.col("_quota").isNull())
+    return few.select(df.columns).unionByName(many.select(df.columns)).unionByName(free.select(df.columns))
 
 
 def thompson_select(df: DataFrame, key: str, topic: Column, platform: str, n: int, seed: int | None) -> DataFrame:

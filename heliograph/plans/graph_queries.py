@@ -229,6 +229,27 @@ def _(t):
     return paths.select("id", F.round("cost", 6).alias("cost"), F.array_join("path", " > ").alias("path"))
 
 
+@query(
+    "shortest_path_between",
+    with_g("""
+    , walk AS (
+        SELECT 0 AS depth, 'audience:customer_0' AS id, 0.0::double AS cost, ['audience:customer_0'] AS path
+        UNION ALL
+        SELECT depth + 1, e.to_node, cost + 1.0 / e.weight, list_append(path, e.to_node)
+        FROM walk w JOIN edges e ON e.from_node = w.id
+        WHERE e.weight > 0 AND depth < 6 AND NOT list_contains(path, e.to_node)
+    ),
+    far AS (SELECT id, min(cost) AS cost FROM walk GROUP BY id)
+    SELECT id, round(cost, 6) AS cost FROM far WHERE id = (SELECT max_by(id, (round(cost, 6), id)) FROM far)
+    """, recursive=True),
+)
+def _(t):
+    """The node that is farthest from a customer, by the path between the two."""
+    edges = star_graph.edges(t)
+    far = graph.shortest_paths(edges, "audience:customer_0").agg(F.max_by("id", F.struct(F.round("cost", 6), "id"))).first()[0]
+    return graph.shortest_path(edges, "audience:customer_0", far).select("id", F.round("cost", 6).alias("cost"))
+
+
 @query(
     "induced_subgraph",
     with_g("""

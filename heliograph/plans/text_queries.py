@@ -308,19 +308,21 @@ def _(t):
 
 # -- vectors and sets ----------------------------------------------------------------
 def sql_slots(source: str) -> str:
-    """(doc_id, slot, value) of the non-zero slots of the hashed embeddings of ``source``."""
+    """(doc_id, slot, value) of the non-zero slots of the hashed embeddings of ``source``; a document without one has a row
+    with null in both."""
     return rf"""
     tok AS (SELECT doc_id, unnest(string_split(lower({NORM}), ' ')) AS w FROM {source}),
     hit AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::bigint % {vectors.EMBED_DIM} AS slot,
                    CASE WHEN ('0x' || substr(md5(w), 9, 2))::int % 2 = 1 THEN 1 ELSE -1 END AS sign FROM tok WHERE w <> ''),
     slots AS (SELECT doc_id, slot, sum(sign)::double AS v FROM hit GROUP BY ALL HAVING sum(sign) <> 0)
-    SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM slots"""
+    SELECT d.doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY d.doc_id)), 6) AS value FROM {source} d LEFT JOIN slots ON slots.doc_id = d.doc_id"""
 
 
 def slots_of(encoded):
-    """The non-zero slots of (doc_id, embedding)."""
-    cells = encoded.select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0")
-    return cells.select("doc_id", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value"))
+    """The non-zero slots of (doc_id, embedding), or one row of nulls."""
+    cells = F.transform("embedding", lambda v, i: F.struct(i.cast("bigint").alias("slot"), F.round(v, 6).alias("value"), (v != 0).alias("some")))
+    each = encoded.select("doc_id", F.explode_outer(F.filter(cells, lambda x: x["some"])).alias("c"))
+    return each.select("doc_id", "c.slot", "c.value")
 
 
 @query("hash_embedding", f"WITH {sql_slots('documents')}")
