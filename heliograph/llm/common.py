@@ -22,16 +22,18 @@ FILTER_BITS = 1 << 25
 SLICE_BYTES = 1 << 19
 
 
-# Rows of an Arrow batch of texts.
+# Rows and bytes of an Arrow batch of texts; a longer text is a batch of its own.
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 24
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches cut to BATCH_ROWS rows: batches of whole texts are large, and a task
-    holds a batch on both sides of the pipe."""
+    """``df``, with the session's Arrow batches cut to BATCH_ROWS rows and BATCH_BYTES: batches of whole texts are large,
+    and a task holds a batch on both sides of the pipe."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
     return df
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,10 +173,17 @@ def mixed_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def cut_words(text: str, first: int, words: int) -> str:
-    """``words`` words of a text from word ``first`` on, with the white space between them."""
-    spans = [m.span() for m in re.finditer(WORD, text)]
-    return text[spans[first][0] : spans[first + words - 1][1]]
+def cut_runs(text: str, runs: list[tuple[int, int]]) -> list[str]:
+    """Of each (first, words) that many words of a text from word ``first`` on, with the white space between them. The
+    text is read once; only the words at the ends of runs are remembered."""
+    wanted = sorted({i for first, words in runs for i in (first, first + words - 1)}, reverse=True)
+    spans = {}
+    for i, match in enumerate(re.finditer(WORD, text)):
+        if i == wanted[-1]:
+            spans[wanted.pop()] = match.span()
+            if not wanted:
+                break
+    return [text[spans[first][0] : spans[first + words - 1][1]] for first, words in runs]
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -187,17 +195,20 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     line = W.partitionBy("sid", "start", "epoch").orderBy("first")
     runs = placements.select("sid", "start", "epoch", "rk", "first", "words", (F.col("first") != F.coalesce(F.lag(F.col("first") + F.col("words")).over(line), F.lit(0))).cast("int").alias("gap"))
     runs = runs.withColumn("run", F.sum("gap").over(line)).groupBy("sid", "start", "epoch", "rk", "run").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    # all runs of a document meet its text in one row, so a text moves once however often it is cut
+    runs = runs.groupBy("sid", "start", "rk").agg(F.collect_list(F.struct("first", "words")).alias("runs"))
     texts = full.select("rk", "size", "row").dropDuplicates(["rk"])
 
-    @F.pandas_udf("string")
-    def part(text, first, words):
-        return text.combine(first, lambda t, f: (t, f)).combine(words, lambda tf, w: cut_words(tf[0], int(tf[1]), int(w)))
+    @F.pandas_udf("array<string>")
+    def parts(text, firsts, words):
+        return pd.Series([[] if t is None else cut_runs(t, list(zip(f.tolist(), w.tolist(), strict=True))) for t, f, w in zip(text, firsts, words, strict=True)])
 
     joined = runs.join(texts, "rk")
-    whole = F.col("words") == F.col("size")
-    done = joined.where(whole).select("row", F.col("row.text").alias("text"))
-    cut = joined.where(~whole).select("row", part("row.text", "first", "words").alias("text"))
+    pieces = F.filter("runs", lambda r: r["words"] != F.col("size"))
+    cut = F.when(F.size(pieces) > 0, F.col("row.text"))
+    whole = F.transform(F.filter("runs", lambda r: r["words"] == F.col("size")), lambda _: F.col("row.text"))
+    made = F.concat(whole, parts(cut, pieces["first"], pieces["words"]))
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return done.unionByName(cut).select(row.alias("row")).select("row.*")
+    return joined.select("row", F.explode(made).alias("text")).select(row.alias("row")).select("row.*")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from heliograph.llm.mixing import BLOCK_WORDS, draw_counts, mixed_counts, mixed_documents, permuted, targets
+from heliograph.llm.mixing import BLOCK_WORDS, cut_runs, draw_counts, mixed_counts, mixed_documents, permuted, targets
 
 
 def size(text):
@@ -52,6 +52,28 @@ def test_documents_of_the_mix(docs, awkward):
     assert Counter() + Counter({None: 0}) == Counter() and sum(size(r.text) for r in rows) == sum(r.taken for r in mixed_counts(docs).collect())
 
 
+def test_runs_of_a_text():
+    text = "  one two\tthree\n\nfour five  six "
+    words = text.split()
+    for runs in ([(0, 6)], [(5, 1)], [(1, 2), (1, 2), (0, 1)], [(3, 3), (0, 4), (2, 1)]):
+        got = cut_runs(text, runs)
+        assert [g.split() for g in got] == [words[f : f + n] for f, n in runs] and all(g in text for g in got)
+
+
+def test_a_long_text_is_cut_whole(spark):
+    """Every block of a long text that the mix takes comes back as text, and runs of neighbours stay together."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(0, long, "a", 7)] + [(i, f"x{i} y", "b", 3) for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    taken = {r.doc_id: r.taken for r in mixed_counts(docs).collect()}
+    got = [r.text for r in mixed_documents(docs).where("doc_id = 0").collect()]
+    assert sum(size(t) for t in got) == taken[0] and all(t in long for t in got)
+    seen = Counter(w for t in got for w in t.split())
+    assert max(seen.values()) <= 2
+    neighbours = sum(int(a.split()[-1][1:]) + 1 == int(b.split()[0][1:]) for a in got for b in got)
+    assert len(got) < 2 * 40_000 / BLOCK_WORDS and neighbours <= len(got)
+
+
 def test_empty_table(no_docs):
     assert mixed_counts(no_docs).collect() == []
     assert mixed_documents(no_docs).collect() == []
