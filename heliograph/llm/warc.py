@@ -26,6 +26,7 @@ from heliograph.llm.common import small_batches
 from heliograph.session import cut_lineage, scratch
 
 ARCHIVE_BYTES = 32 << 20
+READ_TASKS = 10_000
 READ_BYTES = 1 << 20
 MEMBER_BYTES = 1 << 15
 # A longer block fails the length check; a cell of a table could not hold it.
@@ -261,7 +262,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
         kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
         return pa.record_batch([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in (x.split() for x in RECORD.split(", "))], _NAMES)
 
-    named = archives.select("archive").repartition(F.col("archive"))
+    # the list of names is small: without a number, adaptive execution would make one task of it
+    named = archives.select("archive").repartition(max(1, min(archives.count(), READ_TASKS)), "archive")
     return named.mapInArrow(read, RECORD)
 
 
