@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import components
+from heliograph.llm.common import components, small_batches
 from heliograph.session import cut_lineage
 
 THRESHOLD = 0.9
-TILE_ROWS = 2048
+TILE_ROWS = 8192
+# Rows of a tile whose products a task takes at a time, and tasks that share the tile pairs at most.
+BLOCK_ROWS, TASKS = 2048, 20_000
 # Dimensions whose int8 product is exact in float32.
 EXACT = 1024
 # Slack for rounding in double precision, far below any difference that matters.
@@ -67,51 +69,74 @@ def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
-
-
-def _linked(threshold: float):
-    """Tile pair to rows (nid, links, to): link weights of a vector, or a link of the forest in ``to``."""
+def _unpacked(tile: dict, kind: type) -> tuple:
+    """(ids, weights, vectors scaled by a power of two, so that no square over- or underflows, their codes)."""
+    ids = np.frombuffer(tile["ids"], np.int64)
+    vectors = np.frombuffer(tile["x"], kind).astype(np.float64).reshape(len(ids), -1)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+    unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    return ids, np.frombuffer(tile["w"], np.int64), vectors, quantised(unit)
+
+
+def _linked_blocks(a: tuple, b: tuple, threshold: float):
+    """Of two tiles, which may be one: (p, q) index arrays of their links, block by block."""
+    va, qa, vb, qb = a[2], a[3], b[2], b[3]
+    for i in range(0, len(va), BLOCK_ROWS):
+        for j in range(i if a is b else 0, len(vb), BLOCK_ROWS):
+            p, q = possible(tuple(x[i : i + BLOCK_ROWS] for x in qa), tuple(x[j : j + BLOCK_ROWS] for x in qb), threshold)
+            p, q = p + i, q + j
+            if a is b and i == j:
+                p, q = p[p < q], q[p < q]
+            keep = [np.empty(0, bool)]
+            for k in range(0, len(p), 1 << 16):
+                x, y = va[p[k : k + (1 << 16)]], vb[q[k : k + (1 << 16)]]
+                lengths = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+                keep.append((x * y).sum(axis=1) / lengths >= threshold)
+            keep = np.concatenate(keep)
+            if keep.any():
+                yield p[keep], q[keep]
+
+
+def _tile_links(a: tuple, b: tuple, threshold: float) -> pa.RecordBatch | None:
+    """Rows (nid, links, to) of two tiles: link weights of a vector, or a link of the forest in ``to``."""
+    counts_a, counts_b = np.zeros(len(a[0])), np.zeros(len(b[0]))
+    left, right = [], []
+    for p, q in _linked_blocks(a, b, threshold):
+        counts_a += np.bincount(p, weights=b[1][q], minlength=len(counts_a))
+        counts_b += np.bincount(q, weights=a[1][p], minlength=len(counts_b))
+        tree = forest(p, q if a is b else q + len(a[0]))
+        left.append(p[tree])
+        right.append(q[tree])
+    if not left:
+        return None
+    p, q = np.concatenate(left), np.concatenate(right)
+    tree = forest(p, q if a is b else q + len(a[0]))
+    p, q = p[tree], q[tree]
+    ids = np.concatenate([a[0][counts_a > 0], b[0][counts_b > 0], a[0][p]])
+    links = np.concatenate([counts_a[counts_a > 0], counts_b[counts_b > 0], np.zeros(len(p))]).astype(np.int64)
+    to = np.concatenate([np.full(len(ids) - len(p), -1, np.int64), b[0][q]])
+    return pa.record_batch([pa.array(ids), pa.array(links), pa.array(to, mask=to < 0)], ["nid", "links", "to"])
+
+
+def _linked(threshold: float, kind: type):
+    """Rows (dim, ta, tb, ids, w, x), both tiles of a pair in a row one after the other, to rows (nid, links, to)."""
 
     def work(batches):
+        first = None
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for ids_a, w_a, x_a, ids_b, w_b, x_b in zip(*columns, strict=True):
-                tiles = []
-                for ids, w, x in ((ids_a, w_a, x_a), (ids_b, w_b, x_b)):
-                    ids, w = np.frombuffer(ids, np.int64), np.frombuffer(w, np.int64)
-                    vectors = np.frombuffer(x, np.float64).reshape(len(ids), -1)
-                    unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
-                    tiles.append((ids, w, vectors, quantised(unit)))
-                (ia, wa, va, qa), (ib, wb, vb, qb) = tiles
-                if va.shape[1] != vb.shape[1]:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["ta"] == row["tb"]:
+                    tile = _unpacked(row, kind)
+                    out = _tile_links(tile, tile, threshold)
+                elif first is None or any(first[c] != row[c] for c in ("dim", "ta", "tb")):
+                    first = row  # a pair with one tile only has no links
                     continue
-                p, q = possible(qa, qb, threshold)
-                same = ia[0] == ib[0] and len(ia) == len(ib)
-                if same:
-                    p, q = p[p < q], q[p < q]
-                keep = []
-                for i in range(0, len(p), 1 << 18):
-                    a, b = va[p[i : i + (1 << 18)]], vb[q[i : i + (1 << 18)]]
-                    lengths = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
-                    keep.append((a * b).sum(axis=1) / lengths >= threshold)
-                if not keep:
-                    continue
-                keep = np.concatenate(keep)
-                p, q = p[keep], q[keep]
-                counts_a = np.bincount(p, weights=wb[q], minlength=len(ia))
-                counts_b = np.bincount(q, weights=wa[p], minlength=len(ib))
-                for ids, counts in ((ia, counts_a), (ib, counts_b)):
-                    some = counts > 0
-                    out.append((ids[some], counts[some].astype(np.int64), None))
-                tree = forest(ia[p], ib[q])
-                out.append((ia[p][tree], np.zeros(int(tree.sum()), np.int64), ib[q][tree]))
-            if out:
-                ids = np.concatenate([x[0] for x in out])
-                to = np.concatenate([np.full(len(x[0]), -1, np.int64) if x[2] is None else x[2] for x in out])
-                yield pa.record_batch([pa.array(ids), pa.array(np.concatenate([x[1] for x in out])), pa.array(to, mask=to < 0)], ["nid", "links", "to"])
+                else:
+                    out = _tile_links(_unpacked(first, kind), _unpacked(row, kind), threshold)
+                    first = None
+                if out is not None:
+                    yield out
 
     return work
 
@@ -144,22 +169,27 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile_rows:
         F.monotonically_increasing_id().alias("nid"),
     ))
 
+    # single precision holds every number of a table of floats
+    kind = np.float32 if dict(embeddings.dtypes)["embedding"] == "array<float>" else np.float64
+
     def gather(table: pa.Table) -> pa.Table:
         vectors = table["vector"].combine_chunks()
         return pa.table({
             "dim": table["dim"][:1], "tile": table["tile"][:1],
             "ids": pa.array([table["nid"].to_numpy().tobytes()], pa.binary()), "w": pa.array([table["weight"].to_numpy().tobytes()], pa.binary()),
-            "x": pa.array([vectors.flatten().to_numpy().astype(np.float64).tobytes()], pa.binary()),
+            "x": pa.array([vectors.flatten().to_numpy().astype(kind).tobytes()], pa.binary()),
         })
 
     whole_tiles = cut_lineage(
         nodes.select("dim", "tile", "nid", "weight", "vector").groupBy("dim", "tile")
         .applyInArrow(gather, "dim int, tile int, ids binary, w binary, x binary")
     )
-    a = whole_tiles.select("dim", F.col("tile").alias("ta"), F.col("ids").alias("ia"), F.col("w").alias("wa"), F.col("x").alias("xa"), F.explode(F.sequence("tile", F.lit(tiles - 1))).alias("tb"))
-    b = whole_tiles.select("dim", F.col("tile").alias("tb"), F.col("ids").alias("ib"), F.col("w").alias("wb"), F.col("x").alias("xb"))
-    pairs = a.join(b, ["dim", "tb"]).repartition(max(1, tiles * (tiles + 1) // 2), "dim", "ta", "tb")
-    found = cut_lineage(pairs.select("ia", "wa", "xa", "ib", "wb", "xb").mapInArrow(_linked(threshold), "nid long, links long, to long"))
+    both = small_batches(whole_tiles).select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"))
+    both = both.select("dim", F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "ids", "w", "x")
+    tasks = min(tiles * (tiles + 1) // 2, TASKS)
+    number = F.expr("tb * (tb + 1L) div 2 + ta")
+    pairs = both.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("dim", "ta", "tb")
+    found = cut_lineage(pairs.mapInArrow(_linked(threshold, kind), "nid long, links long, to long"))
     counts = found.where("to is null").groupBy("nid").agg(F.sum("links").alias("links"))
     groups = components(found.where("to is not null").select(F.col("nid").alias("a"), F.col("to").alias("b")))
     placed = nodes.select("digest", "nid", "best", "weight").join(counts, "nid", "left").join(groups.withColumnRenamed("node", "nid"), "nid", "left")

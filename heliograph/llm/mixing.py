@@ -1,8 +1,8 @@
 """Mixing sources to target weights by blocks of words.
 
 The words of each source are packed, document after document, into blocks of a fixed length. Every output shard
-draws how many of its slots each source gets from a multinomial over what the sources still owe, so the last shard
-settles the targets. The n-th slot of a source takes the block that a pseudorandom permutation of the source's block
+draws how many of its slots each source gets from a multinomial over what the sources owe, in tasks, by halving the
+range of shards; counts of two halves are those of their whole, so all shards together settle the targets. The n-th slot of a source takes the block that a pseudorandom permutation of the source's block
 numbers gives for n, a new permutation for each pass, so no block is used more than one time above another and none
 more than REPEAT times. Slots and blocks then meet in a join on the block number; no source is ever in one task.
 """
@@ -23,6 +23,8 @@ from heliograph.session import cut_lineage
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 16_384
+# Shards that are drawn together, and sources that go to every task as a table; more are joined by a shuffle.
+TASK_SHARDS, FEW_SOURCES = 16, 100_000
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, REPEAT = 1.5, 2.0
 SEED = 20_240_607
@@ -61,20 +63,36 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     return out
 
 
-def draw_counts(owed: np.ndarray, slots: int, seed: int):
-    """Yields (shard, counts by source): multinomial draws by what is still owed, never more than that."""
-    owed, shard = owed.copy(), 0
-    while owed.sum():
-        rng, k = np.random.default_rng([seed, shard]), min(slots, int(owed.sum()))
-        counts = np.zeros_like(owed)
-        while k:
-            left = owed - counts
-            drawn = np.minimum(rng.multinomial(k, left / left.sum()), left)
-            counts += drawn
-            k -= int(drawn.sum())
-        owed -= counts
-        yield shard, counts
-        shard += 1
+def drawn(owed: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Counts of k slots: multinomial by what is owed, never more than that."""
+    counts = np.zeros_like(owed)
+    while k:
+        left = owed - counts
+        more = np.minimum(rng.multinomial(k, left / left.sum()), left)
+        counts += more
+        k -= int(more.sum())
+    return counts
+
+
+def draw_counts(owed: np.ndarray, slots: int, seed: int, first: int = 0, last: int | None = None):
+    """Yields (shard, counts by source, counts of all earlier shards) for the shards from ``first`` to before ``last``.
+
+    The range of all shards is halved again and again; a half draws its counts from those of its whole, with a seed of
+    its own, so any part of the shards is found from its path alone.
+    """
+
+    def part(low, high, owed, before):
+        if high <= first or (last is not None and low >= last) or low >= high:
+            return
+        if high - low == 1:
+            yield low, owed, before
+            return
+        middle = (low + high) // 2
+        left = drawn(owed, (middle - low) * slots, np.random.default_rng([seed, low, high]))
+        yield from part(low, middle, left, before)
+        yield from part(middle, high, owed - left, before + left)
+
+    yield from part(0, -(-int(owed.sum()) // slots), owed, np.zeros_like(owed))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -112,8 +130,10 @@ def mix(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     sources = spark.createDataFrame(
         [(i, r.source, sizes[i], float(aims[i])) for i, r in enumerate(found)], "sid int, source string, source_size long, target double"
     )
+    if len(found) <= FEW_SOURCES:
+        sources = F.broadcast(sources)
     same = rows["source"].eqNullSafe(sources["source"])
-    light = cut_lineage(rows.join(F.broadcast(sources), same).where("size > 0").select("sid", "rk", "doc_id", "size"))
+    light = cut_lineage(rows.join(sources, same).where("size > 0").select("sid", "rk", "doc_id", "size"))
     placed = running(light, ["sid"], ["rk"], "start", F.col("size"))
 
     first, last = F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("start") + F.col("size") - 1) / BLOCK_WORDS)
@@ -122,14 +142,20 @@ def mix(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
     parts = parts.select("sid", "block", "start", "rk", "doc_id", (begin - F.col("start")).alias("first"), (end - begin).alias("words"))
 
-    drawn, before = [], np.zeros(len(sizes), np.int64)
-    for shard, counts in draw_counts(owed, SHARD_SLOTS, seed):
-        base, total = 0, int(counts.sum())
-        for i in np.flatnonzero(counts):
-            drawn.append((shard, int(i), int(before[i]), int(counts[i]), base, total))
-            base += int(counts[i])
-        before += counts
-    table = spark.createDataFrame(drawn, "shard int, sid int, before long, n long, base long, total long")
+    shards = -(-int(owed.sum()) // SHARD_SLOTS)
+
+    def draws(batches):
+        for batch in batches:
+            for low in batch.column(0).to_pylist():
+                out = []
+                for shard, counts, before in draw_counts(owed, SHARD_SLOTS, seed, low, low + TASK_SHARDS):
+                    some = np.flatnonzero(counts)
+                    base = np.cumsum(counts[some]) - counts[some]
+                    out.append([np.full(len(some), shard), some, before[some], counts[some], base, np.full(len(some), counts.sum())])
+                columns = [np.concatenate(c).astype(t) for c, t in zip(zip(*out, strict=True), (np.int32, np.int32, *[np.int64] * 4), strict=True)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["shard", "sid", "before", "n", "base", "total"])
+
+    table = spark.range(0, shards, TASK_SHARDS).mapInArrow(draws, "shard int, sid int, before long, n long, base long, total long")
     slots = table.select("shard", "sid", "base", "total", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
 
     def aim(batches):
@@ -168,7 +194,7 @@ def mixed_counts(docs: DataFrame) -> DataFrame:
     each = counts.select("rk", "doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy"))
     named = each.join(taken, ["rk", "copy"], "left")
     same = named["source"].eqNullSafe(sources["source"])
-    return named.join(F.broadcast(sources), same).select(
+    return named.join(sources, same).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 

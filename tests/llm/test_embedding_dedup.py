@@ -50,6 +50,17 @@ def test_awkward_vectors(spark):
     assert Counter(tuple(r) for r in near_vectors(frame(spark, rows), tile_rows=40).collect()) == brute(rows)
 
 
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    rows = [(0, base.tolist()), (1, (base * 1e300).tolist()), (2, (base * 1e-300).tolist()), (3, (-base * 1e300).tolist()), (4, [1e300, 1e-300] * 4), (5, [1.0, 0.0] * 4)]
+    rows += [(6, [5e-324] + [0.0] * 7), (7, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in near_vectors(df, tile_rows=3).collect()) == [
+        (0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False)
+    ]
+
+
 def test_empty_table(spark):
     assert near_vectors(frame(spark, [])).collect() == []
 

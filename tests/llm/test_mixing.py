@@ -25,7 +25,11 @@ def test_permutation_and_draws():
         assert sorted(permuted(index, np.full(n, n), np.full(n, 7, np.uint64)).tolist()) == index.tolist()
     owed = np.array([700, 20, 0, 333])
     drawn = list(draw_counts(owed, 100, 3))
-    assert (sum(c for _, c in drawn) == owed).all() and all(c.sum() <= 100 for _, c in drawn)
+    assert (sum(c for _, c, _ in drawn) == owed).all() and all(c.sum() <= 100 for _, c, _ in drawn)
+    assert [s for s, _, _ in drawn] == list(range(11)) and list(draw_counts(owed * 0, 100, 3)) == []
+    for i in range(11):  # a part is found alone, with what lies before it
+        (shard, counts, before), = draw_counts(owed, 100, 3, i, i + 1)
+        assert shard == i and (counts == drawn[i][1]).all() and (before == sum((c for _, c, _ in drawn[:i]), owed * 0)).all()
 
 
 def test_awkward_rows(docs, awkward):
