@@ -129,3 +129,11 @@ def _(t):
     assigned, labels = entities.kmeans_topics(t.documents.select("doc_id", "text"), "text", n_clusters=20)
     sizes = assigned.groupBy("cluster").agg(F.count("*").alias("n_docs"))
     return sizes.join(labels, "cluster").select("cluster", "n_docs", F.array_join("terms", ", ").alias("terms"))
+
+
+@query("kmeans_nearest", "SELECT doc_id, true AS at_nearest FROM documents")
+def _(t):
+    """Each document lies at the nearest of the 20 centres."""
+    docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = entities.kmeans_distances(docs, "text", n_clusters=20)
+    return found.select("doc_id", (c("own") <= c("nearest") + 1e-6).alias("at_nearest"))

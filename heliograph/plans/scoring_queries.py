@@ -151,6 +151,17 @@ def _(t):
     return selection.thompson_value(user_candidates(t), "user_id", seed=42).select("user_id", "value")
 
 
+@query("thompson_bounds", SQL_USERS + "SELECT user_id, round(score, 6) AS score, true AS inside, true AS repeats FROM u")
+def _(t):
+    """Draws lie between 0 and the score and do not depend on how the rows are divided."""
+    users = user_candidates(t).select("user_id", "score", "success", "fail")
+    first = selection.thompson_value(users, "user_id", seed=42)
+    again = selection.thompson_value(users.repartition(7, "score"), "user_id", seed=42).select("user_id", c("value").alias("again"))
+    return first.join(again, "user_id").select(
+        "user_id", F.round("score", 6).alias("score"), c("value").between(0.0, c("score")).alias("inside"), (c("value") == c("again")).alias("repeats")
+    )
+
+
 @query("thompson_select")
 def _(t):
     ranked = selection.rank_blend(user_candidates(t))
