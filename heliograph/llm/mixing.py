@@ -175,7 +175,8 @@ def mix(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
             )
 
     aimed = slots.mapInArrow(aim, "shard int, slot long, sid int, epoch int, block long")
-    return aimed.join(parts, ["sid", "block"]), sources
+    # slots grow with the words, which the planner cannot see behind the draws: never a broadcast
+    return aimed.hint("merge").join(parts, ["sid", "block"]), sources
 
 
 def mixed_counts(docs: DataFrame) -> DataFrame:
