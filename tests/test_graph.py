@@ -129,3 +129,27 @@ def test_bootstrap_seeds_only_an_empty_graph(spark):
     assert seeded.first()["weight"] == 1.0 and links.first()["weight"] == 0.8
     assert stores.bootstrap(seeded, links, payload)[0].count() == 1
     assert stores.bootstrap(seeded, links, payload, force=True)[0].count() == 1
+
+
+def test_pagerank_rounds_have_tasks_by_links_and_not_by_the_session(spark):
+    assert graph.link_parts(100, 12) == 1
+    assert graph.link_parts(3_600_000, 12) == 12
+    assert graph.link_parts(36_000_000, 12) == 36
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    nodes = spark.range(50).select(F.concat(F.lit("n"), "id").alias("id"))
+    edges = spark.range(49).select(F.concat(F.lit("n"), "id").alias("from_node"), F.concat(F.lit("n"), F.col("id") + 1).alias("to_node"), F.lit("r").alias("relation_type"), F.lit(1.0).alias("weight"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.conf.set(name, "150")
+    spark.sparkContext.setJobGroup("ranks", "ranks")
+    try:
+        ranks = graph.pagerank(nodes, edges, iterations=8).collect()
+        assert spark.conf.get(name) == "150"
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("ranks")]
+        stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+        wide = [s.numTasks for s in stages if s and s.numTasks >= 150]
+    finally:
+        spark.conf.set(name, before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(sum(r["rank"] for r in ranks) - 1.0) < 1e-9 and len(ranks) == 50
+    assert not wide
