@@ -149,3 +149,14 @@ def test_fixed_tables_line_up():
     assert abs(sum(dims.GRAPH_SCORE_WEIGHTS.values()) - 1) < 1e-9
     assert abs(sum(dims.STREAM_WEIGHTS.values()) - 1) < 1e-9
     assert sorted(dims.BANNED_TERMS) == list(dims.BANNED_TERMS)
+
+
+def test_kmeans_steps_read_stored_counts(spark, monkeypatch):
+    """IDF and KMeans are fitted on persisted word counts, which are freed; nearest centres hold."""
+    from heliograph.operators import entities
+
+    kept = []
+    monkeypatch.setattr(entities, "keep", lambda df: kept.append(df.persist()) or kept[-1])
+    docs = spark.createDataFrame([(i, f"alpha{i % 3} beta{i % 3} gamma") for i in range(30)], "doc_id long, text string")
+    assert entities.kmeans_distances(docs, "text", 3, 16).filter("own > nearest + 1e-6").count() == 0
+    assert [df.columns for df in kept] == [["_tf"]] and not kept[0].is_cached
