@@ -25,8 +25,8 @@ CAPACITY = 4096
 END_ID = 1
 # Rounds of multiplicative weights, and how far a price falls when its length is covered once.
 ROUNDS, FALL = 300, 3.0
-# Words whose ids a worker remembers before it starts anew, and text bytes it takes at a time.
-MEMORY, TEXT_BYTES = 600_000, 1 << 22
+# Words whose ids a worker remembers before it forgets the rare ones, and text bytes it takes at a time.
+MEMORY, TEXT_BYTES = 200_000, 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -46,18 +46,28 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.again: set[str] = set()
         self.ids, self.ends = array("I"), array("q", [0])
 
+    def forget(self) -> None:
+        """Keeps the words met again since the last time, at most half of MEMORY; most words come once."""
+        known, ids, ends = self.known, self.ids, self.ends
+        kept = self.again if len(self.again) <= MEMORY // 2 else set()
+        self.known, self.again, self.ids, self.ends = {}, set(), array("I"), array("q", [0])
+        for w in kept:
+            at = known[w]
+            self.known[w] = len(self.known)
+            self.ids.extend(ids[ends[at] : ends[at + 1]])
+            self.ends.append(len(self.ids))
+
     def places(self, words: list[str]) -> np.ndarray:
         """The number of each word among the known ones, new words included."""
         if len(self.known) > MEMORY:
             self.forget()
         known, ids, ends = self.known, self.ids, self.ends
         new = [w for w in words if w not in known]
+        self.again.update(known.keys() & words)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[w] = len(known)
             ids.extend(e.ids)
@@ -119,24 +129,28 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
 
     def cut(batches):
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            none = np.asarray(batch.column(0).is_null())
-            for a, b in slices(texts, TEXT_BYTES):
-                ids, starts = encoded(texts[a:b], path)
-                out = []
-                for i in range(b - a):
-                    one = np.append(ids[starts[i] : starts[i + 1]], np.uint32(END_ID))
-                    out += [(a + i, p, p * capacity, one[p * capacity : (p + 1) * capacity]) for p in range(-(-len(one) // capacity))]
-                row = np.array([x[0] for x in out])
-                yield pa.record_batch(
-                    [
-                        pa.array(np.where(none[row], 0, doc_ids[row]).astype(np.int64), mask=none[row]),
-                        pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()),
-                        pa.array([len(x[3]) for x in out], pa.int64()), pa.array([x[3].astype("<u4").tobytes() for x in out], pa.binary()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids"],
-                )
+        try:
+            for batch in batches:
+                doc_ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                none = np.asarray(batch.column(0).is_null())
+                for a, b in slices(texts, TEXT_BYTES):
+                    ids, starts = encoded(texts[a:b], path)
+                    out = []
+                    for i in range(b - a):
+                        one = np.append(ids[starts[i] : starts[i + 1]], np.uint32(END_ID))
+                        out += [(a + i, p, p * capacity, one[p * capacity : (p + 1) * capacity]) for p in range(-(-len(one) // capacity))]
+                    row = np.array([x[0] for x in out])
+                    yield pa.record_batch(
+                        [
+                            pa.array(np.where(none[row], 0, doc_ids[row]).astype(np.int64), mask=none[row]),
+                            pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int64()),
+                            pa.array([len(x[3]) for x in out], pa.int64()), pa.array([x[3].astype("<u4").tobytes() for x in out], pa.binary()),
+                        ],
+                        ["doc_id", "piece", "start", "length", "ids"],
+                    )
+        finally:
+            for encoder in _encoders.values():  # the process stays for tasks of other stages
+                encoder.forget()
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")

@@ -51,3 +51,18 @@ def test_plan_uses_each_piece_once():
 
 def test_empty_table(no_docs):
     assert pack_documents(no_docs, tokenizer_path())[1].collect() == []
+
+
+def test_an_encoder_forgets_words_met_once_and_keeps_the_ids_of_others():
+    from heliograph.llm.packing import _Encoder
+    from heliograph.llm.queries import tokenizer_path
+
+    encoder = _Encoder(tokenizer_path())
+    encoder.places(["unbelievable", "beta"])
+    encoder.places(["unbelievable", "gamma"])
+    encoder.forget()
+    assert list(encoder.known) == ["unbelievable"]
+    words = ["gamma", "unbelievable", "beta"]
+    for word, at in zip(words, encoder.places(words).tolist(), strict=True):
+        want = encoder.tokenizer.encode(word, add_special_tokens=False).ids
+        assert encoder.ids[encoder.ends[at] : encoder.ends[at + 1]].tolist() == want
