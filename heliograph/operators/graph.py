@@ -136,32 +136,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, hops: int = 2, hop_decay: floa
     return summed.filter(F.col("seed") != F.col("node_id"))
 
 
-def shortest_paths(edges: DataFrame, source: str) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, paths: bool = True) -> DataFrame:
     """(id, cost, path) of every node reachable from ``source``; an edge costs
-    1/weight. Only improved nodes relax their edges, until none improves."""
+    1/weight. Only improved nodes relax their edges, until none improves. Without
+    ``paths`` (id, cost): minima of numbers, which need no sort."""
     spark = edges.sparkSession
     steps = keep(
         edges.filter(F.col("weight") > 0)
         .groupBy("from_node", "to_node")
         .agg((1.0 / F.max("weight")).alias("step"))
     )
-    start = spark.range(1).select(
-        F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.array(F.lit(source)).alias("path")
-    )
+    start = spark.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"))
+    cost = (F.col("cost") + F.col("step")).alias("cost")
+    least = F.min(cost).alias("cost")
+    if paths:
+        start = start.withColumn("path", F.array(F.lit(source)))
+        least = F.min(F.struct(cost, F.array_append("path", F.col("to_node")).alias("path"))).alias("b")
     best = improved = start
     while True:
         reached = (
             improved.join(steps, F.col("id") == F.col("from_node"))
             .groupBy("to_node")
-            .agg(
-                F.min(
-                    F.struct(
-                        (F.col("cost") + F.col("step")).alias("cost"),
-                        F.array_append("path", F.col("to_node")).alias("path"),
-                    )
-                ).alias("b")
-            )
-            .select(F.col("to_node").alias("id"), "b.*")
+            .agg(least)
+            .select(F.col("to_node").alias("id"), *(["b.*"] if paths else ["cost"]))
         )
         known = best.select("id", F.col("cost").alias("known"))
         improved = cut_lineage(
@@ -180,13 +177,15 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
 
     Delta-stepping: of the nodes whose cost fell, those within one average step of the
     cheapest relax their edges together. A round writes improvements with their
-    predecessors only; what costs as much as the target is not followed. The path is read
-    back from the predecessors in the end; of equally cheap ones the smallest counts.
+    predecessors only; what costs as much as the target is not followed, and a node
+    without edges waits for no round. The path is read back from the predecessors in
+    the end; of equally cheap ones the smallest counts.
     """
     spark = edges.sparkSession
     steps = cut_lineage(
         edges.filter(F.col("weight") > 0).groupBy("from_node", "to_node").agg((1.0 / F.max("weight")).alias("step"))
     )
+    senders = cut_lineage(steps.select(F.col("from_node").alias("id")).distinct())
     width = steps.agg(F.avg("step")).first()[0] or 1.0
     reached = cut_lineage(spark.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("pred")))
     pending = reached
@@ -210,7 +209,7 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
             relaxed.join(old, "id", "left").filter(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known")
         )
         reached = reached.unionByName(improved)
-        later = pending.filter(~near).unionByName(improved)
+        later = pending.filter(~near).unionByName(improved.join(senders, "id", "left_semi"))
         pending = cut_lineage(later.groupBy("id").agg(F.min(F.struct("cost", "pred")).alias("b")).select("id", "b.*"))
     tree = cut_lineage(known)
     path, at, cost = [], target, bound

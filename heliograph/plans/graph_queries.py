@@ -10,7 +10,7 @@ from heliograph.plans import star_graph
 from heliograph.plans.registry import query
 from heliograph.plans.star_graph import SQL as G
 from heliograph.plans.text_queries import sql_case
-from heliograph.session import scratch
+from heliograph.session import cut_lineage, scratch
 
 c = F.col  # resolved lazily, per call
 
@@ -245,8 +245,8 @@ def _(t):
 )
 def _(t):
     """The node that is farthest from a customer, by the path between the two."""
-    edges = star_graph.edges(t)
-    far = graph.shortest_paths(edges, "audience:customer_0").agg(F.max_by("id", F.struct(F.round("cost", 6), "id"))).first()[0]
+    edges = cut_lineage(star_graph.edges(t).select("from_node", "to_node", "weight"))
+    far = graph.shortest_paths(edges, "audience:customer_0", paths=False).agg(F.max_by("id", F.struct(F.round("cost", 6), "id"))).first()[0]
     return graph.shortest_path(edges, "audience:customer_0", far).select("id", F.round("cost", 6).alias("cost"))
 
 

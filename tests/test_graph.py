@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heliograph.operators import graph
 from heliograph.operators.versions import GraphVersions
-from heliograph.session import scratch
+from heliograph.session import cut_lineage, scratch
 from heliograph.sources import stores
 
 EDGES = "from_node string, to_node string, relation_type string, weight double"
@@ -77,6 +77,18 @@ def test_shortest_paths_equal_dijkstra(spark):
     edges = spark.createDataFrame(rows, EDGES)
     assert {r["id"]: r["cost"] for r in graph.shortest_paths(edges, "n0").collect()} == pytest.approx(best)
     assert graph.shortest_path(edges, "n0", "missing").count() == 0
+    assert {r["id"]: r["cost"] for r in graph.shortest_paths(edges, "n0", paths=False).collect()} == pytest.approx(best)
+
+
+def test_nodes_without_edges_add_no_rounds_to_a_shortest_path(spark, monkeypatch):
+    """Leaves at 5 to 100 are far beyond an average step; a node that sends nothing waits for no round."""
+    rows = [("n0", f"hub{i}", "causes", 1.0) for i in range(20)]
+    rows += [(f"hub{i}", f"leaf{i}_{j}", "causes", 1.0 / (5 * (j + 1))) for i in range(20) for j in range(20 if i == 0 else 2)]
+    written = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    row = graph.shortest_path(spark.createDataFrame(rows, EDGES), "n0", "leaf0_19").first()
+    assert row["cost"] == pytest.approx(101.0) and row["path"] == ["n0", "hub0", "leaf0_19"]
+    assert len(written) <= 8
 
 
 def test_endpoints_and_validation(spark):
