@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from heliograph import session
 from heliograph.operators import graph
 from heliograph.operators.versions import GraphVersions
+from heliograph.plans import load_catalog
 from heliograph.session import cut_lineage, scratch
 from heliograph.sources import stores
 
@@ -165,3 +167,34 @@ def test_pagerank_rounds_have_tasks_by_links_and_not_by_the_session(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert abs(sum(r["rank"] for r in ranks) - 1.0) < 1e-9 and len(ranks) == 50
     assert not wide
+
+
+def test_endpoint_check_and_store_have_tasks_by_rows_and_not_by_the_session(spark, tmp_path, monkeypatch):
+    tables = {
+        "region": ([(0, "R")], "r_regionkey long, r_name string"),
+        "nation": ([(0, "N", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        "supplier": ([(i, f"S{i}", 0, 100.0) for i in range(10)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double"),
+        "part": ([(i, f"P{i}") for i in range(200)], "p_partkey long, p_name string"),
+        "customer": ([(i, f"C{i}", 0) for i in range(20)], "c_custkey long, c_name string, c_nationkey long"),
+        "lineitem": ([(i % 10, i % 201, 5.0) for i in range(2010)], "l_suppkey long, l_partkey long, l_quantity double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        for query, least, count in (("edge_endpoint_check", 40, 41), ("graph_persist", 80, 41 + 232)):
+            spark.sparkContext.setJobGroup(query, query)
+            assert load_catalog()[0][query](spark, str(tmp_path)).count() == 2010 + count
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(query)]
+            stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+            assert max(s.numTasks for s in stages if s) >= least
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "1"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
