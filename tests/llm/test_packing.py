@@ -66,3 +66,25 @@ def test_an_encoder_forgets_words_met_once_and_keeps_the_ids_of_others():
     for word, at in zip(words, encoder.places(words).tolist(), strict=True):
         want = encoder.tokenizer.encode(word, add_special_tokens=False).ids
         assert encoder.ids[encoder.ends[at] : encoder.ends[at + 1]].tolist() == want
+
+
+def test_words_of_latin_letters_go_to_the_model_with_the_ids_of_the_tokenizer():
+    from heliograph.llm.packing import _LETTERS, _Encoder
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.met = tokenizer, []
+
+        def encode_batch_fast(self, words, **options):
+            self.met += words
+            return self.tokenizer.encode_batch_fast(words, **options)
+
+    rng = random.Random(7)
+    pools = ["abcdefghijklmnopqrstuvwxyz", _LETTERS, "aZéÄß'st", "ab1.é中́İKſŀµªº×÷", "ab<|>startofex"]
+    words = sorted({"".join(rng.choice(p) for _ in range(rng.randint(1, 30))) for p in pools for _ in range(500)} | {"a" * 9000, "é" * 5000})
+    encoder = _Encoder(tokenizer_path())
+    full, encoder.tokenizer = encoder.tokenizer, Counting(encoder.tokenizer)
+    at = encoder.places(words)
+    for word, i in zip(words, at.tolist(), strict=True):
+        assert encoder.ids[encoder.ends[i] : encoder.ends[i + 1]].tolist() == full.encode(word, add_special_tokens=False).ids
+    assert encoder.tokenizer.met == [w for w in words if not set(w) <= set(_LETTERS)]
