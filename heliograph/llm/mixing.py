@@ -155,7 +155,8 @@ def mix(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
                 columns = [np.concatenate(c).astype(t) for c, t in zip(zip(*out, strict=True), (np.int32, np.int32, *[np.int64] * 4), strict=True)]
                 yield pa.record_batch([pa.array(c) for c in columns], ["shard", "sid", "before", "n", "base", "total"])
 
-    table = spark.range(0, shards, TASK_SHARDS).mapInArrow(draws, "shard int, sid int, before long, n long, base long, total long")
+    # stored, so that a task has one Python worker: two at a time would stay for all later stages, with what they hold
+    table = cut_lineage(spark.range(0, shards, TASK_SHARDS).mapInArrow(draws, "shard int, sid int, before long, n long, base long, total long"))
     slots = table.select("shard", "sid", "base", "total", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
 
     def aim(batches):

@@ -81,3 +81,13 @@ def test_a_long_text_is_cut_whole(spark):
 def test_empty_table(no_docs):
     assert mixed_counts(no_docs).collect() == []
     assert mixed_documents(no_docs).collect() == []
+
+
+def test_draws_and_places_do_not_run_python_in_one_stage(docs, capsys):
+    from heliograph.llm.mixing import keyed, mix
+    from heliograph.session import cut_lineage
+
+    placements, _ = mix(cut_lineage(keyed(docs).select("rk", "doc_id", "source", "size")))
+    capsys.readouterr()
+    placements.explain("formatted")
+    assert len(re.findall(r"(?m)^\(\d+\) MapInArrow", capsys.readouterr().out)) == 1
