@@ -88,3 +88,30 @@ def test_words_of_latin_letters_go_to_the_model_with_the_ids_of_the_tokenizer():
     for word, i in zip(words, at.tolist(), strict=True):
         assert encoder.ids[encoder.ends[i] : encoder.ends[i + 1]].tolist() == full.encode(word, add_special_tokens=False).ids
     assert encoder.tokenizer.met == [w for w in words if not set(w) <= set(_LETTERS)]
+
+
+def test_signs_and_words_met_before_cost_no_new_words():
+    import pyarrow as pa
+
+    from heliograph.llm import packing
+
+    path = tokenizer_path()
+    full = Tokenizer.from_file(path)
+    rng = random.Random(11)
+    parts = ["a", "B", "é", "Ã", "ß", "1", "'", "'s", "$", "%%", "-", "_", "<", "|", "́", "̸", "İ", "中", ".", "×", " ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    ids, starts = packing.encoded(pa.array(texts), path)
+    for i, t in enumerate(texts):
+        assert ids[starts[i] : starts[i + 1]].tolist() == full.encode(t, add_special_tokens=False).ids
+    encoder = packing._Encoder(path)
+    packing._encoders["signs"] = encoder
+    try:
+        packing.encoded(pa.array(["alpha$$$ (beta) alpha*** beta%%%", "(alpha) $$$ beta"]), "signs")
+        assert "alpha" in encoder.known and not {"alpha$$$", "alpha***", "beta%%%"} & encoder.known.keys()
+        packing.encoded(pa.array(["alpha gamma"]), "signs")
+        encoder.forget()
+        assert list(encoder.known) == ["alpha"]
+        ids, _ = packing.encoded(pa.array(["gamma alpha"]), "signs")
+        assert ids.tolist() == full.encode("gamma alpha", add_special_tokens=False).ids
+    finally:
+        del packing._encoders["signs"]
