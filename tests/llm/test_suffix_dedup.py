@@ -86,3 +86,41 @@ def test_no_group_above_the_bound(spark, monkeypatch):
 
 def test_empty_table(no_docs):
     assert without_repeats(no_docs).collect() == []
+
+
+def test_a_run_alone_is_sorted_only_if_its_least_window_comes_twice_in_it(spark, monkeypatch):
+    """A sentence that a text has twice, far apart, shares no string; the runs around it are not sorted."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(40):
+        sentence = prose(rng, 12, 100_000)
+        rows.append((i, " ".join([prose(rng, 60, 100_000), sentence, prose(rng, 200, 100_000), sentence, prose(rng, 60, 100_000)]), "s"))
+    key_runs = suffix_dedup.key_runs
+    data = [np.frombuffer(t.encode(), np.uint8) for _, t, _ in rows]
+    assert not any(key_runs(d, 400, 32)[4].any() for d in data)
+    phrase = prose(rng, 20, 100_000)
+    for text in ("z" * 1200, phrase * 8, "ab" * 300, "x" * 150 + "ab" * 300 + "y" * 150, prose(rng, 90, 100_000) + (phrase + " ") * 9):
+        raw = text.encode()
+        starts, strings, _, _, again = key_runs(np.frombuffer(raw, np.uint8), 400, 32)
+        for s, n, flag in zip(starts.tolist(), strings.tolist(), again.tolist(), strict=True):
+            inside = Counter(raw[i : i + 400] for i in range(s, s + n))
+            assert flag or max(inside.values()) == 1
+        rows.append((len(rows), text, "s"))
+    compare(spark, rows, 400, 32)
+
+
+def test_equal_strings_of_many_lengths_and_symbols():
+    """Common prefixes near the bound, at the ends of texts and over all byte values, nulls included."""
+    rng = random.Random(19)
+    for symbols, length in ((256, 40), (3, 40), (60, 7), (2, 100), (256, 1), (5, 13)):
+        for _ in range(12):
+            shared = [bytes(rng.randrange(symbols) for _ in range(length + d)) for d in (-1, 0, 1, 30)]
+            texts = {b"".join(rng.choice(shared) if rng.random() < 0.5 else bytes(rng.randrange(symbols) for _ in range(rng.randint(0, 50))) for _ in range(rng.randint(1, 8))) for _ in range(9)}
+            texts = sorted(texts, key=lambda t: rng.random())
+            counts = np.array([rng.choice([1, 1, 3]) for _ in texts])
+            seen = Counter()
+            for t, n in zip(texts, counts.tolist(), strict=True):
+                for i in range(len(t) - length + 1):
+                    seen[t[i : i + length]] += n
+            want = [[i for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1] for t in texts]
+            assert [h.tolist() for h in repeated_strings(texts, counts, length)] == want
