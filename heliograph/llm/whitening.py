@@ -3,8 +3,9 @@
 The leading eigenvectors of the covariance V of all vectors are found without forming V: each pass over the stored
 vectors gives V Q for a block Q of some 32 columns, as the sum over tasks of (X - mean)'((X - mean) Q). A round puts
 Q through a Chebyshev polynomial of V, one pass a degree by its three-term recurrence, which is small on [0, b], the
-unwanted part of the spectrum, and grows fast above it; then come a QR factorisation and a Rayleigh-Ritz step. Rounds
-go on until the residual norms |V q - e q| of all wanted pairs are at rounding level; then the guard columns are drawn
+unwanted part of the spectrum, and grows fast above it; then come a QR factorisation and a Rayleigh-Ritz step. The more
+vectors there are, the closer lie the eigenvalues of their noise: the degree follows the distance of the last wanted one
+from b, and a block that still converges slowly gets more columns, up to all dimensions. Rounds go on until the residual norms |V q - e q| of all wanted pairs are at rounding level; then the guard columns are drawn
 anew and one more round must find no greater eigenvalue that was missed.
 
 Only matrices of dimension times block pass through the driver. Vectors are held as exact whole numbers minus the
@@ -25,6 +26,11 @@ SCALE, OFFSET = 1024.0, 100_000
 LIMIT = float(1 << 52)
 BLOCK_BYTES = 1 << 21
 COMPONENTS, GUARD, DEGREE, ROUNDS = 8, 24, 10, 80
+# Growth over the unwanted part that a round is to give the last wanted pair, by a degree up to MOST_DEGREE at which the
+# first pair grows SPREAD times as much at most.
+GROWTH, MOST_DEGREE, SPREAD = 1e3, 40, 1e6
+# Slow rounds in a row after which the block has twice the columns, and entries of a block at most.
+SLOW_ROUNDS, BLOCK_ENTRIES = 4, 1 << 17
 # Residual, relative to the largest eigenvalue, below which a pair is certified; STALLED is taken if it falls no further.
 CERTIFIED, STALLED = 2e-14, 1e-11
 SEED = 20_240_613
@@ -96,13 +102,23 @@ def filtered(q: np.ndarray, product, low: float, high: float, top: float, degree
     return now
 
 
+def _degree(least: float, high: float, top: float) -> tuple[int, float]:
+    """The degree of a round, and how much more ``least`` grows by it than what is at or below ``high``."""
+    if least <= high:
+        return DEGREE, 1.0
+    at, first = np.arccosh(2 * least / high - 1), np.arccosh(2 * top / high - 1)
+    degree = min(np.arccosh(GROWTH) / at, np.log(SPREAD) / max(first - at, 1e-9), MOST_DEGREE)
+    degree = max(DEGREE, int(degree))
+    return degree, float(np.cosh(min(degree * at, 700.0)))
+
+
 def leading(product, dim: int, wanted: int = COMPONENTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, float]:
     """(eigenvalues falling, unit eigenvectors as columns, largest relative residual) of a symmetric operator without
     negative eigenvalues, given as ``product`` on blocks. Directions of eigenvalue zero, to rounding, are left out."""
     rng = np.random.default_rng(seed)
     wanted, width = min(wanted, dim), min(dim, wanted + GUARD)
     q, _ = np.linalg.qr(rng.standard_normal((dim, width)))
-    narrow, last, sure, probed = 1.0, np.inf, None, False
+    narrow, last, sure, probed, growth, slow = 1.0, np.inf, None, False, np.inf, 0
     for _ in range(ROUNDS):
         vq = product(q)
         values, turn = np.linalg.eigh((q.T @ vq + vq.T @ q) / 2)
@@ -121,14 +137,21 @@ def leading(product, dim: int, wanted: int = COMPONENTS, seed: int = SEED) -> tu
                 return sure[0][keep], sure[1][:, keep], sure[2]
             if probed:
                 sure = None  # the probe met a greater eigenvalue
-        if residual > last / 10:
+        slow = slow + 1 if residual > last / 10 else 0
+        if slow and growth < 2:
             narrow = max(narrow * 0.8, 0.05)
         last = residual
         probed = sure is not None
+        if slow >= SLOW_ROUNDS and not probed and dim * min(dim, 2 * width) <= BLOCK_ENTRIES:
+            q, _ = np.linalg.qr(np.concatenate([q, rng.standard_normal((dim, min(dim, 2 * width) - width))], axis=1))
+            width, narrow, last, growth, slow = q.shape[1], 1.0, np.inf, np.inf, 0
+            if width == dim:
+                continue
         if probed:
             q = np.concatenate([sure[1], rng.standard_normal((dim, width - wanted))], axis=1)
         high = max(values[-1] * narrow, 1e-8 * top)
-        q, _ = np.linalg.qr(filtered(q, product, 0.0, high, top, DEGREE))
+        degree, growth = _degree(values[wanted - 1], high, top)
+        q, _ = np.linalg.qr(filtered(q, product, 0.0, high, top, degree))
         q, _ = np.linalg.qr(q)
     raise RuntimeError(f"no certified eigenvectors after {ROUNDS} rounds; residual {last}")
 

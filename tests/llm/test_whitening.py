@@ -95,3 +95,15 @@ def test_many_equal_eigenvalues_are_certified():
     got, q, residual = leading(lambda m: v @ m, 90)
     assert np.allclose(got, 5) and residual < 1e-11
     assert np.allclose(v @ q, 5 * q, atol=1e-9)
+
+
+@pytest.mark.parametrize("vectors", [615_000, 3_000_000])
+def test_flat_noise_of_many_vectors_is_certified(vectors):
+    rng = np.random.default_rng(9)
+    turn, _ = np.linalg.qr(rng.standard_normal((64, 64)))
+    values = np.append(1 + np.sqrt(64 / vectors) * np.linspace(-2, 2, 62), [1.6, 1.7])[::-1]
+    passes = []
+    got, q, residual = leading(lambda m: passes.append(1) or (turn * values) @ (turn.T @ m), 64)
+    assert np.allclose(got, values[:8], rtol=1e-12) and residual < 1e-11
+    assert np.abs(np.abs((turn[:, :8] * q).sum(axis=0)) - 1).max() < 1e-9
+    assert len(passes) < 200
