@@ -198,3 +198,14 @@ def test_endpoint_check_and_store_have_tasks_by_rows_and_not_by_the_session(spar
         for name, value in before.items():
             spark.conf.set(name, value)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_pagerank_lets_shuffle_files_go_with_each_step(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, stored = spark.conf.get(name), [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: seen.append(spark.conf.get(name)) or stored(df))
+    nodes = spark.createDataFrame([(c,) for c in "abcd"], "id string")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.0)], "from_node string, to_node string, weight double")
+    ranks = {r.id: r["rank"] for r in graph.pagerank(nodes, edges, iterations=5).collect()}
+    assert set(seen) == {"true"} and spark.conf.get(name) == before
+    assert abs(sum(ranks.values()) - 1) < 1e-12 and ranks["c"] > ranks["b"] > ranks["a"] == ranks["d"]
